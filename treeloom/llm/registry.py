@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treeloom.llm import overlap_queries
+from treeloom.llm import cluster_queries, overlap_queries, packing_queries, quality_queries, splitting_queries, token_queries
 
-_MODULES = [overlap_queries]
+_MODULES = [overlap_queries, splitting_queries, cluster_queries, token_queries, packing_queries, quality_queries]
 
 
 def queries() -> dict:
