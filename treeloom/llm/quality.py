@@ -30,7 +30,6 @@ _BULLET = re.compile(r"\s*(?:[-*•–+]|\(?[0-9]{1,4}[.):]?|[a-z][.)])\s")
 _DAMAGE = re.compile(r"�|Ã.|â€.|Â(?=[\s°])|[\x00-\x08\x0e-\x1f]")
 _KANA = re.compile(r"[぀-ヿ]")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
-_MARKS = re.compile(r"[^\w\s]|_")
 _CELL = re.compile(r"[\t|;]|\s{2,}|,(?=\S)")
 _END = tuple(".!?…。！？:;”\"'»)")
 _STOP = tuple(".!?…。！？")
@@ -60,7 +59,8 @@ def statistics(text: str | None, common: frozenset[str]) -> list[float]:
     n = len(words)
     solid = sum(map(len, words))
     blank = sum(map(len, text.split()))
-    symbols = len(_MARKS.findall(text))
+    kinds = Counter(text)
+    symbols = sum(k for c, k in kinds.items() if not c.isalnum() and not c.isspace())
     lines = [x.strip() for x in text.splitlines() if x.strip()]
     ends = sum(x.endswith(_END) for x in lines)
     stops = sum(x.endswith(_STOP) for x in lines)
@@ -68,20 +68,21 @@ def statistics(text: str | None, common: frozenset[str]) -> list[float]:
     hits = sum(is_common)
     digits = sum(w.isdigit() for w in words)
     counts = Counter(words)
-    chars = np.array(list(Counter(text).values()), float) / size
-    wide = len(_WIDE.findall(text))
-    kana = len(_KANA.findall(text))
+    chars = np.array(list(kinds.values()), float) / size
+    wide = sum(k for c, k in kinds.items() if _WIDE.match(c))
+    kana = sum(k for c, k in kinds.items() if _KANA.match(c))
     tags = sum(map(len, _TAG.findall(text)))
     prose = listed = short = bullets = 0
     cells = len(_CELL.findall(text))
     for x in lines:
-        w = _WORD.findall(x.lower())
-        share = sum(a in common for a in w) / len(w) if w else 0.0
-        broad = len(_WIDE.findall(x))
+        w = _WORD.findall(x.lower().replace("n/a", "0"))
+        share = sum(len(a) > 1 and a in common for a in w) / len(w) if w else 0.0
+        figures = sum(a.isdigit() for a in w)
+        broad = len(_WIDE.findall(x)) if wide else 0
         if broad > 0.4 * len(x):
             good = broad >= 12 and len(_KANA.findall(x)) >= 0.25 * broad and not _RUN.search(x)
         else:
-            good = len(w) >= 6 and share >= 0.2 and not _damaged(x)
+            good = len(w) >= 6 and share >= 0.15 and figures < 0.3 * len(w) and not _damaged(x)
         prose += len(x) * good
         begins = bool(_BULLET.match(x))
         bullets += begins
@@ -95,12 +96,12 @@ def statistics(text: str | None, common: frozenset[str]) -> list[float]:
             last = i
     gaps.append(n - last)
     letters = "".join(_LETTERS.findall(lower))
-    vowels = sum(letters.count(v) for v in "aeiouyäöüéèêàáíóúâîôûœ")
+    vowels = sum(k for c, k in Counter(letters).items() if c in "aeiouyäöüéèêàáíóúâîôûœ")
     sentences = max(1, len(re.findall(r"[.!?。！？](?:\s|$|(?<=[。！？]))", text)))
     pairs = set(zip(words, words[1:]))
     values = (
         n, solid / n if n else 0.0, symbols / size, ends / len(lines) if lines else 0.0, hits / n if n else 0.0,
-        np.log1p(size), sum(c.isdigit() for c in text) / size, digits / n if n else 0.0, sum(c.isupper() for c in text) / size, len(_DAMAGE.findall(text)) / size, kana / max(1, wide) if wide > 0.2 * blank else 0.0,
+        np.log1p(size), sum(k for c, k in kinds.items() if c.isdigit()) / size, digits / n if n else 0.0, sum(k for c, k in kinds.items() if c.isupper()) / size, len(_DAMAGE.findall(text)) / size, kana / max(1, wide) if wide > 0.2 * blank else 0.0,
         len(counts) / n if n else 0.0, max(counts.values()) / n if n else 1.0,
         float(-(chars * np.log2(chars)).sum()), sum(len(m.group()) for m in _RUN.finditer(text)) / size, max(map(len, words)) if n else 0, n / max(1, len(lines)), short / max(1, len(lines)), bullets / max(1, len(lines)), cells / max(1, n), tags / size,
         stops / max(1, len(lines)), 1 - len(set(lines)) / max(1, len(lines)), prose / max(1, sum(map(len, lines))), listed / max(1, sum(map(len, lines))), float(np.mean(gaps)), vowels / max(1, len(letters)), n / sentences, len(pairs) / max(1, n - 1), 1 - blank / size,
@@ -142,7 +143,7 @@ def weak_label(x: np.ndarray) -> np.ndarray:
     f = {name: x[:, k] for k, name in enumerate(FEATURES)}
     tongue = (f["common_share"] >= 0.25) | (f["kana_share"] >= 0.35)
     prose = tongue & (f["prose_share"] >= 0.9) & (f["damage_share"] < 0.004) & (f["symbol_share"] < 0.12) & (f["digit_word_share"] < 0.2) & (f["run_share"] < 0.05)
-    junk = ((f["prose_share"] <= 0.02) & (f["common_share"] < 0.12) & (f["kana_share"] < 0.3)) | (f["run_share"] > 0.4) | (f["damage_share"] > 0.03)
+    junk = ((f["prose_share"] <= 0.02) & (f["common_share"] < 0.12) & (f["kana_share"] < 0.3)) | (f["run_share"] > 0.4) | (f["damage_share"] > 0.03) | ((f["distinct_pair_share"] < 0.12) & (f["word_count"] >= 40))
     return np.where(prose & ~junk, 0, np.where(junk & ~prose, 1, -1))
 
 
@@ -215,16 +216,25 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 120, de
 
 def calibrate(score: np.ndarray, y: np.ndarray, weight: float = 1.0) -> tuple[float, float]:
     """Slope and offset of a logistic curve through (score, label), with a weak pull towards (1, 0)."""
-    a, b = 1.0, 0.0
+    a, b = 0.3, 0.0
+
+    def loss(a: float, b: float) -> float:
+        z = a * score + b
+        return float((np.logaddexp(0, z) - y * z).sum() + weight / 2 * ((a - 1) ** 2 + b * b))
+
+    held = loss(a, b)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * score + b, -30, 30)))
         v = np.maximum(p * (1 - p), 1e-9)
         grad = np.array([((p - y) * score).sum() + weight * (a - 1), (p - y).sum() + weight * b])
         hess = np.array([[(v * score * score).sum() + weight, (v * score).sum()], [(v * score).sum(), v.sum() + weight]])
         step = np.linalg.solve(hess, grad)
-        size = np.abs(step).max()
-        a, b = a - step[0] * min(1, 2 / size if size else 1), b - step[1] * min(1, 2 / size if size else 1)
-        if size < 1e-8:
+        size = 1.0
+        while size > 1e-6 and loss(a - size * step[0], b - size * step[1]) > held:
+            size /= 2
+        a, b = a - size * step[0], b - size * step[1]
+        before, held = held, loss(a, b)
+        if before - held < 1e-9:
             break
     return float(a), float(b)
 
