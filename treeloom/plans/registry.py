@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treeloom.plans import hierarchy_queries
+from treeloom.plans import hierarchy_queries, pooling_queries, record_queries
 
-_MODULES = [hierarchy_queries]
+_MODULES = [record_queries, hierarchy_queries, pooling_queries]
 
 
 def queries() -> dict:
