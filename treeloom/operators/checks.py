@@ -26,7 +26,7 @@ def compare_matrices(left: DataFrame, right: DataFrame, key: str, vector: str, a
         (F.col("a").isNotNull() & F.col("b").isNotNull() & (F.size("a") == F.size("b"))).alias("fits"),
     )
     cosine = F.when(F.col("fits"), dot(F.col("a"), F.col("b")) / F.greatest(norm(F.col("a")) * norm(F.col("b")), F.lit(1e-12)))
-    rows = pairs.agg(F.count_if("fits").alias("n_rows"), F.count_if("b is null").alias("n_left_only"), F.count_if("a is null").alias("n_right_only"), F.count_if("not fits and a is not null and b is not null").alias("n_misfits"), F.min(cosine).alias("min_cosine"), F.avg(cosine).alias("mean_cosine"))
+    rows = pairs.agg(F.count_if("fits").alias("n_rows"), F.count_if(F.expr("b is null")).alias("n_left_only"), F.count_if(F.expr("a is null")).alias("n_right_only"), F.count_if(F.expr("not fits and a is not null and b is not null")).alias("n_misfits"), F.min(cosine).alias("min_cosine"), F.avg(cosine).alias("mean_cosine"))
     cells = pairs.filter("fits").select(F.explode(F.arrays_zip("a", "b")).alias("e")).select(F.abs(F.col("e.a") - F.col("e.b")).alias("d"), (F.abs(F.col("e.a") - F.col("e.b")) <= atol + rtol * F.abs(F.col("e.b"))).alias("close"))
     told = cells.agg(F.max("d").alias("max_difference"), F.avg("d").alias("mean_difference"), F.percentile("d", F.lit(0.99)).alias("p99_difference"), F.coalesce(F.min(F.col("close").cast("int")), F.lit(0)).alias("close"))
     return rows.crossJoin(told).withColumn("all_close", F.col("close") == 1).withColumn("passed", F.col("all_close") & (F.col("min_cosine") >= least_cosine) & (F.col("n_left_only") + F.col("n_right_only") + F.col("n_misfits") == 0)).drop("close")  # two single rows
@@ -38,7 +38,7 @@ def alignment(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     b = right.select(F.col(right_key).alias("_k"), F.struct(*columns).alias("_b"))
     both = a.join(b, "_k", "full_outer")
     counts = [F.sum((F.col("_a").isNotNull() & F.col("_b").isNotNull() & ~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}"))).cast("bigint")).alias(f"x{k}") for k, c in enumerate(columns)]
-    one = both.agg(F.count_if("_a is not null and _b is not null").alias("n_both"), F.count_if("_b is null").alias("n_left_only"), F.count_if("_a is null").alias("n_right_only"), *counts)
+    one = both.agg(F.count_if(F.expr("_a is not null and _b is not null")).alias("n_both"), F.count_if(F.expr("_b is null")).alias("n_left_only"), F.count_if(F.expr("_a is null")).alias("n_right_only"), *counts)
     return one.select("n_both", "n_left_only", "n_right_only", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"x{k}").alias("n_unequal")) for k, c in enumerate(columns)])).alias("e")).select("e.column", "n_both", "e.n_unequal", "n_left_only", "n_right_only")
 
 

@@ -131,7 +131,7 @@ def plus_plus(units: DataFrame, k: int, seed: int, floor: float = 0.0) -> np.nda
                     continue
                 x, row = _matrix(batch.column(1)), batch.column(0).to_numpy()
                 d = np.maximum(1 - _nearest(x, centres)[1], floor) if len(centres) else np.ones(len(x))
-                salt = np.uint64((seed * 1_000_003 + turn) & (2**64 - 1)) * np.uint64(0xD6E8FEB86659FD93)
+                salt = np.uint64((seed * 1_000_003 + turn) * 0xD6E8FEB86659FD93 % 2**64)
                 e = -np.log((mix(mix(row.astype(np.int64).view(np.uint64)) ^ salt) >> np.uint64(11)).astype(np.float64) / 2**53 + 2**-54)
                 free = ~np.isin(row, used) if floor <= 0 else np.ones(len(row), bool)
                 for i in np.flatnonzero(free)[np.argsort(np.where(d > 1e-12, e / np.maximum(d, 1e-12), np.inf)[free], kind="stable")[:1]]:
