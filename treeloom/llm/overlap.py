@@ -142,7 +142,7 @@ def _verified(texts: DataFrame, profile: Profile, pairs: DataFrame, o: Overlap,
                 batch = batch.filter(pa.array(may_contain(known.value, mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))))
             for s in _slices([batch], o.words):
                 _unseen(s, seen)
-                yield pa.RecordBatch.from_arrays([pa.array(s.classes), pa.array([v.tobytes() for v in np.split(s.values, s.offsets[1:-1])] if len(s.sizes) else [], pa.binary())], ["class", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.classes), pa.array([_packed(v) for v in np.split(s.values, s.offsets[1:-1])] if len(s.sizes) else [], pa.binary())], ["class", "hashes"])
 
     sets = texts.mapInArrow(read, "class bigint, hashes binary").dropDuplicates(["class"])
     sets, _ = write_table(sets.join(wanted, "class", "left_semi"), "sets")
@@ -168,10 +168,21 @@ def _verified(texts: DataFrame, profile: Profile, pairs: DataFrame, o: Overlap,
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
+_HASH_BYTES = HASH_BITS // 8
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """The used low bytes of each hash (little-endian)."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]).tobytes()
+
+
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All hashes of a binary column, and the number of each row."""
-    parts = [np.frombuffer(v.as_buffer(), np.uint64) for v in column]
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array([len(p) for p in parts], np.int64)
+    """All hashes of a column of packed ones, and the number of each row."""
+    parts = [np.frombuffer(v.as_buffer(), np.uint8) for v in column]
+    flat = np.concatenate(parts).reshape(-1, _HASH_BYTES) if parts else np.empty((0, _HASH_BYTES), np.uint8)
+    wide = np.zeros((len(flat), 8), np.uint8)
+    wide[:, :_HASH_BYTES] = flat
+    return wide.view(np.uint64).ravel(), np.array([len(p) // _HASH_BYTES for p in parts], np.int64)
 
 
 def shared_counts(xs: np.ndarray, xn: np.ndarray, ys: np.ndarray, yn: np.ndarray) -> np.ndarray:
