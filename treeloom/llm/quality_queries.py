@@ -25,4 +25,16 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_statistics": p8_statistics}
-ORACLES: dict[str, str] = {}
+
+_SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_BREAK = r"\r\n|[\x0a-\x0d\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_SHARE = "round({0}::DOUBLE / greatest({1}, 1), 6) + 0.0"
+ORACLES = {
+    "p8_statistics": rf"""WITH c AS (SELECT list(DISTINCT lower(word)) AS c FROM common_words),
+t AS (SELECT doc_id, CASE WHEN regexp_matches(text, '[^{_SPACE}]') THEN text ELSE '' END AS t FROM documents),
+d AS (SELECT doc_id, t, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS w, list_filter(list_transform(regexp_split_to_array(t, '{_BREAK}'), lambda x: regexp_replace(x, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')), lambda x: x <> '') AS l FROM t)
+SELECT doc_id, len(w)::BIGINT AS word_count, {_SHARE.format("coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)", "len(w)")} AS mean_word_length,
+ {_SHARE.format(f"length(regexp_replace(t, '[{chr(92)}p{{L}}{chr(92)}p{{N}}{_SPACE}]', '', 'g'))", "length(t)")} AS symbol_share,
+ {_SHARE.format("len(list_filter(l, lambda x: contains('.!?…。！？:;”' || chr(34) || chr(39) || '»)', right(x, 1))))", "len(l)")} AS punct_line_share,
+ {_SHARE.format("len(list_filter(w, lambda x: list_contains(c, x)))", "len(w)")} AS common_share FROM d, c""",
+}
