@@ -227,3 +227,48 @@ def test_readers_and_sinks(spark, tmp_path):
     assert readers.read_shards(spark, str(tmp_path / "v"), "*.parquet", expected=1).count() == 1
     with pytest.raises(ValueError):
         readers.read_shards(spark, str(tmp_path / "v"), "*.parquet", expected=3)
+
+
+def test_synthetic_vectors(spark):
+    from treeloom.sources.synthetic import synthetic_vectors
+
+    df = spark.range(2000).toDF("k")
+    a = {r["k"]: r["vector"] for r in synthetic_vectors(df, ["k"], 4, 1).collect()}
+    b = {r["k"]: r["vector"] for r in synthetic_vectors(df.repartition(7), ["k"], 4, 1).collect()}
+    x = np.array([a[k] for k in range(2000)])
+    assert a == b and abs(x.mean()) < 0.05 and abs(x.std() - 1) < 0.05 and abs(np.corrcoef(x.T)[0, 1]) < 0.1
+
+
+def test_grid_verification(spark):
+    from treeloom.operators.experiments import delta_to, sensitivity_grid, verify_grid
+
+    grid = sensitivity_grid()
+    df = spark.createDataFrame([(g.name, 0.3 + 0.001 * i) for i, g in enumerate(grid)], "pool string, nmi double")
+    r = verify_grid(df, "pool", "nmi", grid, grid[0].name, 0.3).first()
+    assert len(grid) == 24 and r["passed"] and r["best"] == grid[-1].name
+    assert not verify_grid(df.limit(5), "pool", "nmi", grid, grid[0].name, 0.3).first()["passed"]
+    assert delta_to(df, "nmi", "pool", grid[0].name).agg({"delta": "max"}).first()[0] == pytest.approx(0.023)
+
+
+def test_stream_resumes(spark, tmp_path):
+    from datetime import datetime
+
+    from treeloom.streaming.accumulate import accumulate_stream, event_windows, finalize
+
+    schema = "patent_id bigint, claim_id int, token_embeddings array<array<float>>, num_tokens int, encoded_at timestamp"
+    rows = [(1, 1, [[3.0, 4.0]], 1, datetime(2021, 1, 1)), (1, 2, [[2.0, 1.0]], None, None), (2, 1, [[1.0, 0.0]], 5, None), (2, 2, [[float("nan"), 0.0]], 1, None)]
+    depths = spark.createDataFrame([(1, 1, 0, 0), (1, 2, 1, 1), (2, 1, 0, 0), (2, 2, 1, 1)], "patent_id bigint, claim_id int, depth int, claim_pos int")
+    p = pooling.Pooling(unit_before=False, unit_after=False)
+    source, state, held = (str(tmp_path / x) for x in ("in", "state", "check"))
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = _parse_datatype_string(schema)
+    for part in (rows[:1], rows[1:]):  # the second call reads only what is new
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(source)
+        accumulate_stream(spark, source, kind, depths, p, state, held)
+    got = {r["patent_id"]: (r["vector"], r["n_parts"]) for r in finalize(spark, state).collect()}
+    parts = pooling.part_vectors(spark.createDataFrame(rows, kind)).join(depths, ["patent_id", "claim_id"])
+    want = {r["patent_id"]: (r["vector"], r["n_parts"]) for r in pooling.pool(parts, p).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == pytest.approx(want[k][0]) and got[k][1] == want[k][1] for k in got)
+    events = spark.createDataFrame([(datetime(2021, 1, 1, 0, 5), "a", 1.0), (None, "a", 1.0)], "ts timestamp, event_type string, value double")
+    assert event_windows(events).count() == 1

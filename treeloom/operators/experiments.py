@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.operators.checks import norm_summary
 from treeloom.operators.kmeans import run_seeds
-from treeloom.operators.metrics import by_level, seed_summary
+from treeloom.operators.metrics import by_level, cluster_balance, seed_summary
 from treeloom.operators.pooling import Pooling
 
 #: The settings of the sensitivity table.
@@ -48,3 +49,28 @@ def cluster_and_score(vectors: DataFrame, key: str, vector: str, labels: DataFra
         told = one if told is None else told.unionByName(one)
     scored = by_level(told.join(labels, label_key), levels, "cluster", ("seed",))
     return scored, seed_summary(scored)
+
+
+def verify_outputs(vectors: DataFrame, vector: str, assigned: DataFrame, cluster: str, k: int, tolerance: float = 1e-5) -> DataFrame:
+    """One row of checks on a run: equal row counts, finite unit vectors, all clusters in use, and whether all hold."""
+    norms = norm_summary(vectors, vector)
+    sizes = cluster_balance(assigned, cluster, k)
+    both = norms.crossJoin(sizes)  # two single rows
+    checks = {
+        "same_rows": F.col("n_rows") == F.col("n"),
+        "finite": F.col("n_invalid") == 0,
+        "unit": F.coalesce(F.col("max_unit_error") <= tolerance, F.lit(False)),
+        "all_active": F.col("active_clusters") == k,
+    }
+    told = both.select("n_rows", *[c.alias(name) for name, c in checks.items()])
+    return told.withColumn("passed", F.expr(" and ".join(checks)))
+
+
+def verify_grid(df: DataFrame, name: str, metric: str, grid: list[Pooling], anchor: str, expected: float, tolerance: float = 1e-10) -> DataFrame:
+    """One row: whether each setting of the grid occurs once, the anchor's metric is as expected, and the best row."""
+    names = df.sparkSession.createDataFrame([(g.name,) for g in grid], "_name string")
+    missing = names.join(df, F.col("_name") == F.col(name), "left_anti").agg(F.count("*").alias("n_missing"))
+    told = df.agg(F.count("*").alias("n"), F.countDistinct(name).alias("n_distinct"), F.max(F.when(F.col(name) == anchor, F.abs(F.col(metric) - expected))).alias("anchor_error"))
+    top = best(df, metric, name).select(F.col(name).alias("best"), F.col(metric).alias("best_metric"))
+    one = told.crossJoin(missing).crossJoin(top)  # single rows
+    return one.withColumn("passed", (F.col("n") == F.col("n_distinct")) & (F.col("n") == len(grid)) & (F.col("n_missing") == 0) & (F.col("anchor_error") <= tolerance))

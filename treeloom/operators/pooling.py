@@ -123,3 +123,9 @@ def partial_sums(parts: DataFrame, p: Pooling, by: list[str]) -> DataFrame:
     base = select_parts(parts, p.selection).select(*by, vector.alias("v"), w.alias("w")).filter("v is not null")
     base = base.select(*by, array_to_vector(F.transform("v", lambda x: x * F.col("w"))).alias("v"), "w")
     return base.groupBy(*by).agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("s"), F.sum("w").alias("w"), F.count("*").alias("n"))
+
+
+def accumulation_summary(documents: DataFrame, pooled: DataFrame, key: str = "patent_id") -> DataFrame:
+    """One row: documents, those with a vector, those without, and all pooled parts."""
+    both = documents.select(key).distinct().join(pooled.select(key, "n_parts", F.col("vector").isNotNull().alias("done")), key, "left")
+    return both.agg(F.count("*").alias("n_documents"), F.count_if("done").alias("n_completed"), F.count_if(~F.coalesce("done", F.lit(False))).alias("n_missing"), F.coalesce(F.sum("n_parts"), F.lit(0)).alias("n_parts"))

@@ -255,6 +255,13 @@ a AS (SELECT * FROM q UNION ALL SELECT seed, 'mean', metric, avg(v) FROM q GROUP
     "cluster_balance": f"WITH {_OLD}, s AS (SELECT seed, label, count(*) AS n FROM o WHERE label IS NOT NULL GROUP BY 1, 2) SELECT seed, count(*) AS active_clusters, round(max(n) / sum(n), 6) + 0.0 AS max_share, sum(n)::BIGINT AS n, 30::BIGINT AS k FROM s GROUP BY 1",
     "alignment_report": """WITH f AS (SELECT row_idx, min(patent_id) AS patent_id FROM patent_features WHERE row_idx IS NOT NULL GROUP BY 1), j AS (SELECT a.global_index AS a, b.row_idx AS b, a.patent_id AS x, b.patent_id AS y FROM patent_labels a FULL JOIN f b ON a.global_index = b.row_idx)
 SELECT 'patent_id' AS "column", count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS n_both, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL AND x IS DISTINCT FROM y) AS n_unequal, count(*) FILTER (WHERE b IS NULL) AS n_left_only, count(*) FILTER (WHERE a IS NULL) AS n_right_only FROM j""",
+    "matrix_compare": f"""WITH {_U}, s AS (SELECT row_idx, min(features)::DOUBLE[] AS v FROM patent_features WHERE row_idx IS NOT NULL GROUP BY 1),
+j AS (SELECT 'stored' AS pair, row_idx, s.v AS a, u.v AS b, 1e-3::DOUBLE AS tol, 1e-3::DOUBLE AS rel FROM s FULL JOIN u USING (row_idx) UNION ALL SELECT 'same', row_idx, v, v, 1e-6::DOUBLE, 1e-5::DOUBLE FROM u),
+k AS (SELECT *, a IS NOT NULL AND b IS NOT NULL AND len(a) = len(b) AS fits FROM j),
+r AS (SELECT pair, count(*) FILTER (WHERE fits) AS n_rows, count(*) FILTER (WHERE b IS NULL) AS n_left_only, count(*) FILTER (WHERE a IS NULL) AS n_right_only, count(*) FILTER (WHERE NOT fits AND a IS NOT NULL AND b IS NOT NULL) AS n_misfits,
+ min(CASE WHEN fits THEN list_dot_product(a, b) / greatest(sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)), 1e-12) END) AS c FROM k GROUP BY 1),
+x AS (SELECT pair, tol, rel, unnest(a) AS a, unnest(b) AS b FROM k WHERE fits), d AS (SELECT pair, max(abs(a - b)) AS m, quantile_cont(abs(a - b), 0.99) AS p, bool_and(abs(a - b) <= tol + rel * abs(b)) AS close FROM x GROUP BY 1)
+SELECT pair, n_rows, n_left_only, n_right_only, n_misfits, round(c, 6) + 0.0 AS min_cosine, round(m, 6) + 0.0 AS max_difference, round(p, 6) + 0.0 AS p99_difference, close AND c >= 0.99999 AND n_left_only + n_right_only + n_misfits = 0 AS passed FROM r JOIN d USING (pair)""",
     "index_complete": "SELECT count(*) AS n, count(DISTINCT global_index) AS n_distinct, min(global_index) AS least, max(global_index) AS most, count(*) = count(DISTINCT global_index) AND min(global_index) = 0 AND max(global_index) = count(*) - 1 AS complete FROM patent_labels",
     "predictions_pivot": f"WITH {_OLD} SELECT y.*, {', '.join(f'(SELECT label FROM o WHERE o.row_idx = y.row_idx AND seed = {s}) AS cluster_seed_{s}' for s in (17, 42, 73))} FROM y",
     "manifest_checksums": "SELECT doc_id, sha256(text) AS sha256, strlen(text) AS n_bytes FROM documents",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treeloom.functions.vectors import masked_mean, truncated_mean
 from treeloom.operators.experiments import sensitivity_grid
-from treeloom.operators.pooling import Pooling, missing_documents, part_vectors, partial_sums, pool, pool_grid, record_depths, weight
+from treeloom.operators.pooling import Pooling, accumulation_summary, missing_documents, part_vectors, partial_sums, pool, pool_grid, record_depths, weight
 from treeloom.streaming.accumulate import accumulate_stream, event_windows, finalize, fresh_folder
 
 RAW = dict(unit_before=False, unit_after=False)
@@ -83,6 +83,12 @@ def pooled_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing_documents(docs, pool(_parts(spark, sf_dir), Pooling(**RAW)))
 
 
+def pooled_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, completed and missing ones, and pooled claims."""
+    docs = spark.read.parquet(f"{sf_dir}/legacy_records.parquet").filter("patent_id is not null")
+    return accumulation_summary(docs, pool(_parts(spark, sf_dir), Pooling(**RAW)))
+
+
 def ablation_pooling_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each of 24 weightings: documents, and the mean over them of the pooled vector's first number and of its length."""
     grid = pool_grid(_parts(spark, sf_dir), sensitivity_grid(**RAW))
@@ -166,7 +172,7 @@ SELECT pool, count(*) AS n, round(avg(f), 6) + 0.0 AS mean_first, round(avg(n),
 QUERIES = {k: _pooled(p) for k, p in _MODES.items()}
 for _name, _query in QUERIES.items():
     _query.__name__, _query.__doc__ = _name, f"Pooled vectors with {json.dumps(_MODES[_name].__dict__)}."
-QUERIES |= {f.__name__: f for f in (truncated_token_mean, masked_token_mean, claim_weights, token_violations, token_shards, pooled_missing, ablation_pooling_grid, shard_partials, stream_accumulate, event_counts)}
+QUERIES |= {f.__name__: f for f in (truncated_token_mean, masked_token_mean, claim_weights, token_violations, token_shards, pooled_missing, pooled_summary, ablation_pooling_grid, shard_partials, stream_accumulate, event_counts)}
 ORACLES = {
     "pooled_all": _pool_sql(12, 0.1),
     "pooled_root_only": _pool_sql(12, 0.1, "depth = 0"),
@@ -184,6 +190,7 @@ SELECT unnest(['num_tokens_null', 'num_tokens_differs', 'not_finite', 'no_depth'
 count(*) FILTER (WHERE list_bool_or(list_transform(flatten(token_embeddings), lambda x: x IS NULL OR isnan(x)))), count(*) FILTER (WHERE known IS NULL), count(*) FILTER (WHERE encoded_at IS NULL)]) AS n FROM e""",
     "token_shards": "SELECT shard, count(*) AS n_entries, count(DISTINCT (patent_id, claim_id)) AS n_claims, count(*) FILTER (WHERE truncated) AS n_truncated FROM token_entries GROUP BY 1",
     "pooled_missing": f"WITH {_PARTS} SELECT DISTINCT patent_id FROM legacy_records WHERE patent_id IS NOT NULL AND patent_id NOT IN (SELECT patent_id FROM part)",
+    "pooled_summary": f"WITH {_PARTS}, n AS (SELECT DISTINCT patent_id FROM legacy_records WHERE patent_id IS NOT NULL), c AS (SELECT patent_id, count(*) AS k FROM part GROUP BY 1) SELECT count(*) AS n_documents, count(k) AS n_completed, count(*) - count(k) AS n_missing, coalesce(sum(k), 0)::BIGINT AS n_parts FROM n LEFT JOIN c USING (patent_id)",
     "ablation_pooling_grid": _grid_sql(),
     "shard_partials": f"""WITH {_PARTS}, u AS (SELECT DISTINCT shard, patent_id, claim_id, v FROM t4), j AS (SELECT shard, patent_id, (CASE WHEN depth = 0 THEN 12::DOUBLE ELSE 1 END) * exp(-0.1::DOUBLE * depth) AS w FROM u JOIN dep USING (patent_id, claim_id))
 SELECT shard, count(DISTINCT patent_id) AS n_patents, count(*) AS n_parts, round(sum(w), 4) + 0.0 AS weight FROM j GROUP BY 1""",
