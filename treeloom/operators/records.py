@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.functions.text import clean_parents, code_levels, label, split_name, strip
@@ -14,17 +14,23 @@ class RecordError(ValueError):
     """A strict check found violations."""
 
 
-def normalize_records(df: DataFrame, key: str = "record_id") -> DataFrame:
+def normalize_records(df: DataFrame, key: str = "record_id", with_text: bool = True) -> DataFrame:
     """One row per delivered record: key, patent_id, split, source, section, class, subclass and the cleaned claims.
 
     Claims keep their order; each has position, id (stripped), text (null becomes empty, stripped) and parents
-    (stripped, blanks dropped, repeats dropped keeping the first).  Null claims become an empty array.
+    (stripped, blanks dropped, repeats dropped keeping the first).  Null claims become an empty array.  Without
+    ``with_text`` the texts are neither read nor shuffled.
     """
+    if not with_text:
+        df = df.withColumn("_ids", F.col("claims.claim_id")).withColumn("_parents", F.col("claims.parent_ids"))
+        df = df.select(*[c for c in df.columns if c not in ("claims", "_ids", "_parents")], F.arrays_zip(F.col("_ids").alias("claim_id"), F.col("_parents").alias("parent_ids")).alias("claims"))
     once = first_delivery(df, key)
-    claims = F.transform(
-        F.coalesce("claims", F.array().cast(df.schema["claims"].dataType)),
-        lambda c, i: F.struct(i.cast("bigint").alias("claim_pos"), strip(c.claim_id).alias("claim_id"), strip(F.coalesce(c.text, F.lit(""))).alias("text"), clean_parents(c.parent_ids).alias("parent_ids")),
-    )
+
+    def cleaned(c: Column, i: Column) -> Column:
+        text = [strip(F.coalesce(c.text, F.lit(""))).alias("text")] if with_text else []
+        return F.struct(i.cast("bigint").alias("claim_pos"), strip(c.claim_id).alias("claim_id"), *text, clean_parents(c.parent_ids).alias("parent_ids"))
+
+    claims = F.transform(F.coalesce("claims", F.array().cast(df.schema["claims"].dataType)), cleaned)
     return once.select(key, strip("patent_id").alias("patent_id"), split_name("split").alias("split"), "source", label("cpc.section").alias("section"), label("cpc.class").alias("class"), label("cpc.subclass").alias("subclass"), claims.alias("claims"))
 
 

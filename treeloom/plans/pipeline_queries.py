@@ -17,7 +17,7 @@ DIM, REDUCED, K, SEED = 16, 4, 6, 42
 
 def run(spark: SparkSession, sf_dir: str, p: Pooling = Pooling(unit_before=False, unit_after=False)) -> tuple[DataFrame, DataFrame, DataFrame, kmeans.KMeansResult]:
     """(normalised records, reduced vectors, assignments, result); records with cycles or without claims take no part."""
-    rec = records.normalize_records(spark.read.parquet(f"{sf_dir}/demo_records.parquet"))
+    rec = records.normalize_records(spark.read.parquet(f"{sf_dir}/demo_records.parquet"), with_text=False)
     deep = records.claim_depths(rec).withColumn("claim_pos", F.lit(0))
     parts = synthetic_vectors(deep, ["record_id", "claim_id"], DIM, SEED)
     pooled, _ = write_table(pool(parts, p, "record_id").select("record_id", "vector"), "pooled")

@@ -15,12 +15,12 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/demo_records.parquet")
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.normalize_records(_raw(spark, sf_dir))
+def _records(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    return R.normalize_records(_raw(spark, sf_dir), with_text=with_text)
 
 
-def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.explode_claims(_records(spark, sf_dir))
+def _claims(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    return R.explode_claims(_records(spark, sf_dir, with_text))
 
 
 def records_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def records_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _claims(spark, sf_dir).select("record_id", "claim_pos", "claim_id", F.md5("text").alias("text_md5"), F.size("parent_ids").cast("bigint").alias("n_parents"))
+    return _claims(spark, sf_dir, with_text=True).select("record_id", "claim_pos", "claim_id", F.md5("text").alias("text_md5"), F.size("parent_ids").cast("bigint").alias("n_parents"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
