@@ -43,7 +43,7 @@ class Overlap:
     #: Sketches: retained hashes of a set's rare shingles; sketch links needed; sizes up to which one link is enough.
     retained: int = 64
     links: int = 2
-    one_link_size: int = 130
+    one_link_size: int = 100
     #: Sets up to this size, and those with more common than rare shingles, go by the exact prefix.
     prefix_size: int = 80
     adjacent_from: int = 48
