@@ -39,7 +39,7 @@ class Overlap:
     containment: tuple[int, int] = (4, 5)
     jaccard: tuple[int, int] = (3, 5)
     #: Containment: rare shingles an evaluation set and a training set must share in the lists.
-    agree: int = 5
+    agree: int = 6
     #: Sketches: retained hashes of a set's rare shingles; sketch links needed; sizes up to which one link is enough.
     retained: int = 64
     links: int = 2
