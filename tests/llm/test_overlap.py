@@ -91,6 +91,16 @@ def test_cross_split_against_brute_force(spark, seed):
     assert got == truth
 
 
+@pytest.mark.parametrize("short", [0, 1 << 30])
+def test_codes_of_classes(spark, monkeypatch, short):
+    monkeypatch.setattr(O, "SHORT_CODES", short)
+    if short:
+        monkeypatch.setattr(O, "code", lambda c: c.bitwiseAND(F.lit(7)))  # nearly all classes share a code
+    rows = [(i, [f"a{i // 2} b{i // 2} c{i // 2} d{i // 2} e{i // 2}"], "train" if i % 2 else "dev", None, "", "") for i in range(40)]
+    got = {tuple(r) for r in O.cross_split(frame(spark, rows), "record_id", "texts", F.col("split")).collect()}
+    assert got == {(i, i + 1) for i in range(0, 40, 2)}
+
+
 def test_empty_tables(spark):
     empty = frame(spark, corpus(1)).limit(0)
     assert O.near_pairs(empty, "record_id", "texts").count() == 0

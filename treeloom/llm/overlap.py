@@ -31,6 +31,15 @@ WORDS = 3
 _ROWS_AT_ONCE = 1024
 
 
+#: Number of classes up to which pairs are counted by 32-bit codes; a shared code only adds candidates.
+SHORT_CODES = 1 << 30
+
+
+def code(c: Column) -> Column:
+    """The low 32 bits of a class."""
+    return c.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 @dataclass(frozen=True)
 class Overlap:
     """Parameters of both operators; shares are numerator / denominator, so that limits are exact."""
@@ -257,7 +266,15 @@ def contained_classes(evaluation: DataFrame, training: DataFrame, everything: Da
 
     keys = sent.filter("block is null").select("value", "a", "agree").repartition("value").dropDuplicates(["value", "a"])
     hits = training.mapInArrow(scan, "value bigint, b bigint").repartition("value").dropDuplicates(["value", "b"])
-    met = keys.join(hits, "value").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("agree").alias("agree")).filter("c >= agree").select("a", "b")
+    matches = keys.join(hits, "value")
+    # the largest shuffle: two short codes share one number, as long as few classes share a code
+    names = profile.members.select("class", code(F.col("class")).alias("code")).distinct()
+    if profile.members.select("class").distinct().count() < SHORT_CODES:
+        met = matches.groupBy(F.shiftleft(code(F.col("a")), 32).bitwiseOR(code(F.col("b"))).alias("pair")).agg(F.count("*").alias("c"), F.min("agree").alias("agree")).filter("c >= agree")
+        met = met.select(F.shiftrightunsigned("pair", 32).alias("x"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("y"))
+        met = met.join(names.select(F.col("class").alias("a"), F.col("code").alias("x")), "x").join(names.select(F.col("class").alias("b"), F.col("code").alias("y")), "y").select("a", "b")
+    else:
+        met = matches.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("agree").alias("agree")).filter("c >= agree").select("a", "b")
     return _verified(everything, profile, met, o, lambda shared, x, y: shared * den >= num * x, estimate=False)
 
 
