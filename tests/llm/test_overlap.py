@@ -138,3 +138,21 @@ def test_shared_counts_and_estimates():
         assert O.union_estimate(*flat(xs), *flat(ys), k) == pytest.approx(want)
     packed = pa.array([O._packed(v) for v in xs], pa.binary())
     assert (O._flat(packed)[0] == np.concatenate(xs)).all()
+
+
+def grown_pairs(common, shared, added, pairs=100, background=20_000):
+    """Pairs of a record of ``common`` templated and ``shared`` rare shingles and the same with a rare passage added, and rare texts besides."""
+    rows = []
+    for k in range(pairs):
+        texts = [" ".join(f"t{k // 5}x{i}" for i in range(common + 2)), " ".join(f"s{k}x{i}" for i in range(shared + 2))]
+        rows.append((2 * k, texts, "train", None, "", ""))
+        rows.append((2 * k + 1, [*texts, " ".join(f"n{k}x{i}" for i in range(added + 2))], "train", None, "", ""))
+    rows += [(2 * pairs + k, [" ".join(f"b{k}x{i}" for i in range(202))], "train", None, "", "") for k in range(background // 200)]
+    return rows, {(2 * k, 2 * k + 1) for k in range(pairs)}
+
+
+@pytest.mark.parametrize("common,shared,added", [(85, 17, 68), (50, 10, 40)])
+def test_rare_passage_added_to_templated_text(spark, common, shared, added):
+    rows, want = grown_pairs(common, shared, added)
+    got = {tuple(r) for r in O.near_pairs(frame(spark, rows), "record_id", "texts").collect()}
+    assert len(want - got) == 0 and got == near_truth(rows)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.functions.shingles import HASH_BITS, list_shingle_sets, mix
-from treeloom.functions.sketches import Bits, Counter, bits_of_column, blocks_of, count_level, level_at_mass, may_contain, merge_bits, merge_counts
+from treeloom.functions.sketches import Bits, Counter, bits_of_column, blocks_of, count_level, may_contain, merge_bits, merge_counts
 from treeloom.operators.components import components
 from treeloom.session import BROADCAST_ROWS, write_table
 
@@ -49,17 +49,10 @@ class Overlap:
     jaccard: tuple[int, int] = (3, 5)
     #: Containment: rare shingles an evaluation set and a training set must share in the lists.
     agree: int = 6
-    #: Sketches: retained hashes of a set's rare shingles; sketch links needed; sizes up to which one link is enough.
-    retained: int = 64
-    links: int = 2
-    one_link_size: int = 100
-    #: Sets up to this size, and those with more common than rare shingles, go by the exact prefix.
-    prefix_size: int = 80
-    adjacent_from: int = 48
-    #: Shingles with counts up to the level that covers this share of all occurrences are rare.
-    rare_mass: float = 0.62
-    #: Union-sketch estimates may lie this far under the limit (over four deviations at 64 values).
-    margin: float = 0.27
+    #: Jaccard: rare shingles two sets must share in the lists.
+    agree_near: int = 6
+    #: Jaccard: keys that one task joins at once, about.
+    keys_at_once: int = 250_000
 
 
 class Sets:
@@ -133,7 +126,7 @@ def _broadcast(df: DataFrame, value: object):  # noqa: ANN202
     return df.sparkSession.sparkContext.broadcast(value)
 
 
-def _verified(texts: DataFrame, profile: Profile, pairs: DataFrame, o: Overlap, agree: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], estimate: bool) -> DataFrame:
+def _verified(texts: DataFrame, profile: Profile, pairs: DataFrame, o: Overlap, agree: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """The pairs (a, b) of classes whose sets pass ``agree(shared, size a, size b)``, by reading the candidates' texts once more."""
     pairs, _ = write_table(pairs, "candidates")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
@@ -157,7 +150,6 @@ def _verified(texts: DataFrame, profile: Profile, pairs: DataFrame, o: Overlap,
     sets, _ = write_table(sets.join(wanted, "class", "left_semi"), "sets")
     left = sets.select(F.col("class").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("class").alias("b"), F.col("hashes").alias("y"))
-    limit = o.jaccard[0] / o.jaccard[1] - o.margin
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -165,14 +157,7 @@ def _verified(texts: DataFrame, profile: Profile, pairs: DataFrame, o: Overlap,
                 batch = whole.slice(at, 512)
                 xs, xn = _flat(batch.column(2))
                 ys, yn = _flat(batch.column(3))
-                ok = np.ones(batch.num_rows, bool)
-                if estimate:
-                    ok = union_estimate(xs, xn, ys, yn, o.retained) >= limit
-                rows = np.flatnonzero(ok)
-                xs, ys = xs[ok[np.repeat(np.arange(len(xn)), xn)]], ys[ok[np.repeat(np.arange(len(yn)), yn)]]
-                shared = shared_counts(xs, xn[rows], ys, yn[rows])
-                rows = rows[agree(shared, xn[rows], yn[rows])]
-                yield batch.select([0, 1]).take(pa.array(rows))
+                yield batch.select([0, 1]).filter(pa.array(agree(shared_counts(xs, xn, ys, yn), xn, yn)))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
@@ -275,7 +260,7 @@ def contained_classes(evaluation: DataFrame, training: DataFrame, everything: Da
         met = met.join(names.select(F.col("class").alias("a"), F.col("code").alias("x")), "x").join(names.select(F.col("class").alias("b"), F.col("code").alias("y")), "y").select("a", "b")
     else:
         met = matches.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("agree").alias("agree")).filter("c >= agree").select("a", "b")
-    return _verified(everything, profile, met, o, lambda shared, x, y: shared * den >= num * x, estimate=False)
+    return _verified(everything, profile, met, o, lambda shared, x, y: shared * den >= num * x)
 
 
 def cross_split(df: DataFrame, key: str, texts: Column | str, split: Column, same: Column | None = None, o: Overlap = Overlap(), training: str = "train", evaluation: tuple[str, ...] = ("dev", "test")) -> DataFrame:
@@ -308,47 +293,125 @@ def cross_split(df: DataFrame, key: str, texts: Column | str, split: Column, sam
 def near_classes(texts: DataFrame, profile: Profile, o: Overlap) -> DataFrame:
     """(a, b), a < b: different classes whose sets have a Jaccard similarity of at least ``o.jaccard``.
 
-    From one hash function, each set retains the ``o.retained`` smallest hashes of its rare shingles.
-    Inverted lists run over links of a sketch - two retained values that follow each other - since a
-    single value is shared by many unlike sets while two neighbours are not: of similar sets at the
-    limit about a quarter to a third of the links agree, so that all of dozens fail with a chance of
-    about (0.73 to 0.91) to their number.  Small sets, and sets with more common than rare shingles, also send
-    the rarest n - need + 1 of their values, by which two such sets meet for certain.  The union of both
-    sketches then estimates the similarity, and the whole sets verify it.
+    A set of n shingles shares at least ``need`` = n * ``o.jaccard`` with any such partner, so that both, sending their
+    n - need + g rarest into the lists, meet at least g times, whatever is rare.  At the k-th common shingle at
+    most k - 1 are behind; a meeting that leaves too few shingles in either set for the limit does not count.
+    No case is lost, and pairs that meet often enough are compared by whole sets.  Lists are joined by buckets of keys: a
+    task's keys for one bucket travel as one packed row.
     """
     counts = _broadcast(texts, profile.counts)
-    rare = level_at_mass(profile.counts, o.rare_mass)
     num, den = o.jaccard
+    total = profile.table.filter("block is null").agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, total * (den - num) // den // o.keys_at_once)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for s in _slices(batches, o.words):
             _unseen(s, seen)
-            level = count_level(counts.value, s.values)
-            is_rare = level <= rare
-            n_rare = np.bincount(s.owner[is_rare], minlength=len(s.sizes))
-            by_prefix = (s.sizes <= o.prefix_size) | (2 * n_rare < s.sizes)
-            values, place = s.ranked(level)
-            keep = by_prefix[s.owner] & (place < (s.sizes - -(-num * s.sizes // den) + 1)[s.owner])
-            keys, owners, needs = [mix(values[keep] + np.uint64(1))], [s.owner[keep]], [np.ones(int(keep.sum()), np.int32)]
-            values, owner = s.values[is_rare], s.owner[is_rare]
-            place = np.arange(len(values)) - np.concatenate(([0], np.cumsum(n_rare)))[owner]
-            keep = (place <= o.retained) & (s.sizes > o.adjacent_from)[owner]
-            values, owner = values[keep], owner[keep]
-            linked = np.flatnonzero(owner[1:] == owner[:-1])
-            keys.append(mix(values[linked] * np.uint64(0x9E3779B97F4A7C15) ^ mix(values[linked + 1])))
-            owners.append(owner[linked])
-            needs.append(np.where(s.sizes[owner[linked]] <= o.one_link_size, 1, o.links).astype(np.int32))
-            owner = np.concatenate(owners)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(s.classes[owner]), pa.array(s.sizes[owner].astype(np.int32)), pa.array(np.concatenate(needs))], ["key", "class", "n", "need"])
-
-    lists = texts.mapInArrow(send, "key bigint, class bigint, n int, need int").repartition("key").sortWithinPartitions("key", "class")
-    lists, _ = write_table(lists.mapInArrow(_met, lists.schema), "lists")
-    x = lists.select("key", F.col("class").alias("a"), F.col("n").alias("na"), F.col("need").alias("need_a"))
-    y = lists.select("key", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("need").alias("need_b"))
-    met = x.join(y, "key").filter("a < b").filter((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
-    met = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("need_a", "need_b")).alias("need")).filter("c >= need").select("a", "b")
-    return _verified(texts, profile, met, o, lambda shared, p, q: shared * (den + num) >= num * (p + q), estimate=True)
+            need = -(-num * s.sizes // den)
+            values, place = s.ranked(count_level(counts.value, s.values))
+            keep = place < (s.sizes - need + np.minimum(o.agree_near, need))[s.owner]
+            values, place, owner = values[keep], place[keep], s.owner[keep]
+            bucket = (mix(values) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            names, begin = np.unique(bucket[order], return_index=True)
+            datas = [_packed_keys(values[i], place[i], s.classes, s.sizes, owner[i]) for i in np.split(order, begin[1:])] if len(names) else []
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(datas, pa.binary())], ["bucket", "data"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        pairs, number, agree = _meetings([v.as_buffer() for v in table.column("data").combine_chunks()], o)
+        return pa.table({"pair": pairs, "c": number, "agree": agree})
+
+    met = texts.mapInArrow(send, "bucket int, data binary").groupBy("bucket").applyInArrow(meet, "pair bigint, c int, agree int")
+    met = met.groupBy("pair").agg(F.sum("c").alias("c"), F.min("agree").alias("agree")).filter("c >= agree")
+    # short codes: all classes of both codes are candidates
+    met = met.select(F.shiftrightunsigned("pair", 32).alias("x"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("y"))
+    names = profile.members.select("class", code(F.col("class")).alias("code")).distinct()
+    met = met.join(names.select(F.col("class").alias("p"), F.col("code").alias("x")), "x").join(names.select(F.col("class").alias("q"), F.col("code").alias("y")), "y")
+    met = met.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    return _verified(texts, profile, met, o, lambda shared, p, q: shared * (den + num) >= num * (p + q))
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number, plane by plane, so that empty planes compress away."""
+    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(data: np.ndarray, width: int) -> np.ndarray:
+    wide = np.zeros((len(data) // width, 8), np.uint8)
+    wide[:, :width] = data.reshape(width, -1).T
+    return wide.view(np.uint64).ravel()
+
+
+def _packed_keys(values: np.ndarray, place: np.ndarray, classes: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> bytes:
+    """Keys in the order of their owners, and each owner's class, size and number of keys once."""
+    rows, number = np.unique(owner, return_counts=True)
+    head = np.array([len(rows), len(values)], np.uint64).tobytes()
+    return head + _planes(classes[rows].view(np.uint64), 8) + _planes(sizes[rows], 4) + _planes(number, 4) + _planes(values, _HASH_BYTES) + _planes(place, 4)
+
+
+def _unpacked_keys(data: pa.Buffer) -> tuple[np.ndarray, ...]:
+    """(key, class, size, place) of each key."""
+    flat = np.frombuffer(data, np.uint8)
+    rows, keys = (int(x) for x in flat[:16].view(np.uint64))
+    parts, at = [], 16
+    for n, width in ((rows, 8), (rows, 4), (rows, 4), (keys, _HASH_BYTES), (keys, 4)):
+        parts.append(_from_planes(flat[at : at + n * width], width))
+        at += n * width
+    classes, sizes, number, values, place = parts
+    number = number.astype(np.int64)
+    return values, np.repeat(classes.view(np.int64), number), np.repeat(sizes.astype(np.int64), number), place.astype(np.int64)
+
+
+_PAIRS_AT_ONCE = 1 << 20
+
+
+def _meetings(datas: list[pa.Buffer], o: Overlap) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair of codes, meetings that count, meetings needed) of the classes in one bucket's lists."""
+    num, den = o.jaccard
+    key, name, n, place = (np.concatenate(x) for x in zip(*(_unpacked_keys(d) for d in datas)))
+    order = np.lexsort((name, n, key))
+    key, name, n, place = key[order], name[order], n[order], place[order]
+    once = np.concatenate(([True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])))  # copies sent by several tasks
+    key, name, n, place = key[once], name[once], n[once], place[once]
+    short = (name.view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    agree = np.minimum(o.agree_near, -(-num * n // den))
+    group = np.cumsum(np.concatenate(([False], key[1:] != key[:-1]))).astype(np.int64)
+    number = np.searchsorted((group << 32) | n, (group << 32) | (n * den // num), "right") - np.arange(len(key)) - 1
+    ends = np.cumsum(number)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[np.ndarray] = []
+    held_agree: list[np.ndarray] = []
+
+    def fold() -> None:
+        pairs, agreed = np.concatenate(held), np.concatenate(held_agree)
+        order = np.argsort(pairs, kind="stable")
+        pairs, agreed = pairs[order], agreed[order]
+        first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+        out.append((pairs[first].view(np.int64), np.diff(np.append(first, len(pairs))).astype(np.int32), np.minimum.reduceat(agreed, first).astype(np.int32)))
+        held.clear()
+        held_agree.clear()
+
+    at = 0
+    while at < len(key):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS_AT_ONCE, "right")))
+        some = number[at:to]
+        i = np.repeat(np.arange(at, to), some)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some)
+        least = np.minimum(agree[i], agree[j])
+        ok = (least - 1 + np.minimum(n[i] - place[i], n[j] - place[j])) * (den + num) >= num * (n[i] + n[j])
+        x, y = short[i[ok]], short[j[ok]]
+        if len(x):
+            held.append((np.minimum(x, y).astype(np.uint64) << np.uint64(32)) | np.maximum(x, y).astype(np.uint64))
+            held_agree.append(least[ok])
+        if sum(map(len, held)) > _PAIRS_AT_ONCE:
+            fold()
+        at = to
+    if held:
+        fold()
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
