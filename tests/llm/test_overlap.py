@@ -151,7 +151,7 @@ def grown_pairs(common, shared, added, pairs=100, background=20_000):
     return rows, {(2 * k, 2 * k + 1) for k in range(pairs)}
 
 
-@pytest.mark.parametrize("common,shared,added", [(85, 17, 68), (50, 10, 40)])
+@pytest.mark.parametrize("common,shared,added", [(85, 17, 68), (50, 10, 40), (90, 20, 70)])
 def test_rare_passage_added_to_templated_text(spark, common, shared, added):
     rows, want = grown_pairs(common, shared, added)
     got = {tuple(r) for r in O.near_pairs(frame(spark, rows), "record_id", "texts").collect()}
