@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.session import drop_table, write_table
+from treeloom.session import NotConverged, drop_table, write_table
 
+#: Rounds grow with the logarithm of the longest chain; more than this many raise :class:`NotConverged`.
 MAX_ROUNDS = 60
 
 
@@ -18,6 +19,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = M
     number of rounds that grows with the logarithm of the graph's size.  Hot nodes are met by
     aggregates with map-side combine only, and no list of neighbours is ever gathered.  Links from a
     node to itself and links with a null are left out; an empty table gives an empty result.
+    Links that still change after ``max_rounds`` raise ``NotConverged``.
     """
     spark = links.sparkSession
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
@@ -36,5 +38,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = M
         if print_ == before:
             break
         before = print_
+    else:
+        raise NotConverged(f"components still change after {max_rounds} rounds")
     star = held.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return star.union(star.select(F.col("component").alias("node"), "component").distinct())

@@ -11,6 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+class NotConverged(RuntimeError):
+    """A loop reached its limit of rounds before its result was settled."""
+
+
 #: Rows of a narrow side (ids and numbers) up to which a counted side is broadcast.
 BROADCAST_ROWS = 200_000
 
