@@ -6,7 +6,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from treeloom.functions.shingles import mix
 from treeloom.llm import overlap as O
+from treeloom.llm import sketches as S
 from treeloom.functions.text import alnum_key, split_name
 
 SCHEMA = "record_id bigint, texts array<string>, split string, patent_id string, value string, class string"
@@ -53,10 +55,13 @@ def near_truth(rows):
     return {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 5 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_pairs_against_brute_force(spark, seed):
+SPLIT = O.Overlap(hot=2, keys_at_once=40)  # many buckets, most lists split
+
+
+@pytest.mark.parametrize("seed,o", [(1, O.Overlap()), (2, SPLIT), (7, O.Overlap(agree_near=1))])
+def test_near_pairs_against_brute_force(spark, seed, o):
     rows = corpus(seed)
-    got = {tuple(r) for r in O.near_pairs(frame(spark, rows).repartition(3), "record_id", "texts").collect()}
+    got = {tuple(r) for r in O.near_pairs(frame(spark, rows).repartition(3), "record_id", "texts", o).collect()}
     assert got == near_truth(rows)
 
 
@@ -74,8 +79,8 @@ def test_near_groups(spark):
         assert r["n_links"] == len({frozenset(sets[x]) for x in got if sets[x] != sets[k] and (min(x, k), max(x, k)) in truth})
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_cross_split_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,o", [(4, O.Overlap()), (5, SPLIT), (8, O.Overlap(agree=1))])
+def test_cross_split_against_brute_force(spark, seed, o):
     rows = corpus(seed)
     once = {r[0]: r for r in rows}
     name = lambda s: (s or "").strip().lower() or None
@@ -87,18 +92,18 @@ def test_cross_split_against_brute_force(spark, seed):
                 a, b = triples(e[1]), triples(t[1])
                 if (a and 5 * len(a & b) >= 4 * len(a)) or (key(e[3]) and key(e[3]) == key(t[3])):
                     truth.add((min(e[0], t[0]), max(e[0], t[0])))
-    got = {tuple(r) for r in O.cross_split(frame(spark, rows), "record_id", "texts", split_name("split"), alnum_key("patent_id")).collect()}
+    got = {tuple(r) for r in O.cross_split(frame(spark, rows), "record_id", "texts", split_name("split"), alnum_key("patent_id"), o).collect()}
     assert got == truth
 
 
-@pytest.mark.parametrize("short", [0, 1 << 30])
-def test_codes_of_classes(spark, monkeypatch, short):
-    monkeypatch.setattr(O, "SHORT_CODES", short)
-    if short:
-        monkeypatch.setattr(O, "code", lambda c: c.bitwiseAND(F.lit(7)))  # nearly all classes share a code
-    rows = [(i, [f"a{i // 2} b{i // 2} c{i // 2} d{i // 2} e{i // 2}"], "train" if i % 2 else "dev", None, "", "") for i in range(40)]
-    got = {tuple(r) for r in O.cross_split(frame(spark, rows), "record_id", "texts", F.col("split")).collect()}
-    assert got == {(i, i + 1) for i in range(0, 40, 2)}
+def test_codes_of_classes(spark):
+    """All classes that share a code become candidates; pairs that meet too seldom don't."""
+
+    class Told:
+        members = spark.createDataFrame([(5, 1), (5 + (1 << 32), 2), (9, 3), (-1, 4)], "class bigint, id bigint")
+
+    met = spark.createDataFrame([((5 << 32) | 9, 2, 6), ((5 << 32) | 9, 4, 6), ((9 << 32) | 0xFFFFFFFF, 1, 1), ((5 << 32) | 0xFFFFFFFF, 2, 3)], "pair bigint, c int, agree int")
+    assert {tuple(r) for r in O._candidates(met, Told).collect()} == {(5, 9), (5 + (1 << 32), 9), (9, -1)}
 
 
 def test_empty_tables(spark):
@@ -113,29 +118,12 @@ def test_exact_way_where_candidates_are_many(spark, monkeypatch):
     assert {tuple(r) for r in O.near_pairs(frame(spark, rows), "record_id", "texts").collect()} == near_truth(rows)
 
 
-def test_lists_are_pruned_across_batches():
-    rng = random.Random(0)
-    rows = sorted((rng.randrange(40), rng.randrange(6)) for _ in range(150))
-    schema = pa.schema([("key", pa.int64()), ("class", pa.int64())])
-    want = {r for r in rows if len({c for k, c in rows if k == r[0]}) > 1}
-    for size in (1, 2, 3, 7, 150):
-        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + size]]), pa.array([r[1] for r in rows[i : i + size]])], schema=schema) for i in range(0, len(rows), size)]
-        got = [tuple(r.values()) for b in O._met(iter(batches)) for r in b.to_pylist()]
-        assert sorted(got) == sorted(want) and len(got) == len(set(got))
-
-
-def test_shared_counts_and_estimates():
+def test_shared_counts():
     rng = np.random.default_rng(0)
     xs = [np.unique(rng.integers(0, 400, n)).astype(np.uint64) for n in (5, 100, 300, 1)]
     ys = [np.unique(rng.integers(0, 400, n)).astype(np.uint64) for n in (50, 100, 300, 1)]
     flat = lambda z: (np.concatenate(z), np.array([len(v) for v in z]))
     assert O.shared_counts(*flat(xs), *flat(ys)).tolist() == [len(np.intersect1d(a, b)) for a, b in zip(xs, ys)]
-    for k in (8, 64, 1000):
-        want = []
-        for a, b in zip(xs, ys):
-            union = np.union1d(a, b)[:k]
-            want.append(np.isin(union, np.intersect1d(a, b)).mean())
-        assert O.union_estimate(*flat(xs), *flat(ys), k) == pytest.approx(want)
     packed = pa.array([O._packed(v) for v in xs], pa.binary())
     assert (O._flat(packed)[0] == np.concatenate(xs)).all()
 
@@ -156,3 +144,40 @@ def test_rare_passage_added_to_templated_text(spark, common, shared, added):
     rows, want = grown_pairs(common, shared, added)
     got = {tuple(r) for r in O.near_pairs(frame(spark, rows), "record_id", "texts").collect()}
     assert len(want - got) == 0 and got == near_truth(rows)
+
+
+def test_one_shingle_in_all_records(spark):
+    """A phrase that every record holds is in the sketches of the short ones: its list is split, and nothing is lost."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(400):
+        own = [f"u{k // 2}x{i}" for i in range(rng.choice([1, 3, 6, 40]) if not k % 2 else 4)]
+        rows.append((k, ["the one phrase that all records hold", " ".join(own)], "train" if k % 3 else "dev", None, "", ""))
+    got = {tuple(r) for r in O.near_pairs(frame(spark, rows), "record_id", "texts", O.Overlap(hot=50)).collect()}
+    assert got == near_truth(rows) and len(got) > 1000
+    sets = {r[0]: triples(r[1]) for r in rows}
+    want = {(min(e, t), max(e, t)) for e in sets for t in sets if e % 3 == 0 and t % 3 and 5 * len(sets[e] & sets[t]) >= 4 * len(sets[e])}
+    assert {tuple(r) for r in O.cross_split(frame(spark, rows), "record_id", "texts", F.col("split"), o=O.Overlap(hot=50)).collect()} == want
+
+
+def test_shares_of_a_list():
+    level = np.arange(256).astype(np.uint8)
+    assert O._shares(level, 1 << 14).min() == 1 and (np.diff(O._shares(level, 1 << 14)) >= 0).all()
+    at, turn = O._repeat(np.array([2, 0, 3]))
+    assert at.tolist() == [0, 0, 2, 2, 2] and turn.tolist() == [0, 1, 0, 1, 2]
+    flat = [(i, t) for a, b in O._ranges(np.array([2, 0, 3])) for i, t in zip(a.tolist(), b.tolist())]
+    assert flat == [(0, 0), (0, 1), (2, 0), (2, 1), (2, 2)]
+
+
+def test_sketches(spark):
+    values = np.random.default_rng(0).integers(-(2**60), 2**60, 500)
+    bits = S.filter_bits(len(values))
+    packed = S.bits_of_column(spark.createDataFrame([(int(v),) for v in values] + [(None,)], "h bigint"), "h", bits)
+    assert S.may_contain(packed, mix(values.view(np.uint64))).all() and np.unpackbits(packed).mean() <= 0.1
+    assert S.filter_bits(10**9) is None and all(2 ** S.filter_bits(n) >= 10 * n for n in (0, 1, 10**4, 5 * 10**7))
+    counter = S.Counter(12)
+    counter.add(np.repeat(np.arange(10, dtype=np.uint64), np.arange(10)))
+    numbers, datas = S.blocks_of(counter.cells)
+    merged = S.merge_counts(spark.createDataFrame(list(zip(numbers, map(bytearray, datas))) * 2, "block int, data binary"), 12)
+    assert S.count_at(S.count_level(merged, np.arange(10, dtype=np.uint64))) == pytest.approx(2 * np.arange(10), rel=0.05)
+    assert S.count_bits(0) == 12 and S.count_bits(10**6) == 20 and S.count_bits(10**12) == S.MOST_COUNT_BITS

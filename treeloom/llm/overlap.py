@@ -3,9 +3,10 @@
 Both operators read each text in a few streaming passes and move only hashes:
 
 1. *profile*: every record's set of distinct shingle hashes is reduced to a class hash (records with equal
-   sets are one class) and its size; the same pass folds all hashes into a count sketch of fixed size.
-2. *keys*: each class sends a few hash rows, chosen by rarity, into inverted lists.
-3. *candidates*: classes that meet often enough in the lists.
+   sets are one class) and its size; the same pass folds all hashes into a count sketch sized from their number.
+2. *keys*: each class sends hashes, chosen by rarity, into inverted lists, which are cut into buckets; what tasks
+   send for one bucket travels packed.  A list that is expected to be hot is split into shares.
+3. *candidates*: classes that meet often enough in the lists, which are joined in numpy, a bucket at a time.
 4. *verify*: the sets of the candidates alone are read again and compared exactly.
 
 Exact copies never meet in lists: one class stands for all of them, and pairs of records come
@@ -23,26 +24,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.functions.shingles import HASH_BITS, list_shingle_sets, mix
-from treeloom.functions.sketches import Bits, Counter, bits_of_column, blocks_of, count_level, may_contain, merge_bits, merge_counts
+from treeloom.llm.sketches import Counter, bits_of_column, blocks_of, count_at, count_bits, count_level, filter_bits, may_contain, merge_counts
 from treeloom.operators.components import components
 from treeloom.session import BROADCAST_ROWS, write_table
 
 WORDS = 3
 _ROWS_AT_ONCE = 1024
-
-
-#: Number of classes up to which pairs are counted by 32-bit codes; a shared code only adds candidates.
-SHORT_CODES = 1 << 30
+#: Rows from which the number of shingles is estimated that the count sketch is sized for; results don't depend on it.
+SIZING_ROWS = 2000
+_CHARACTERS = 6  # of a word and the blank behind it, about
+#: Classes that a task remembers so as to send a copy once; beyond, copies are dropped where lists are joined.
+_REMEMBERED = 1 << 20
 
 
 def code(c: Column) -> Column:
-    """The low 32 bits of a class."""
+    """The low 32 bits of a class; a shared code only adds candidates."""
     return c.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 @dataclass(frozen=True)
 class Overlap:
-    """Parameters of both operators; shares are numerator / denominator, so that limits are exact."""
+    """Parameters of both operators; shares are numerator / denominator, so that limits are exact.
+
+    No parameter loses a pair: ``agree`` and ``agree_near`` (1 gives the plain prefix filter) trade keys for candidates,
+    ``keys_at_once`` and ``hot`` bound what one task joins.
+    """
 
     words: int = WORDS
     containment: tuple[int, int] = (4, 5)
@@ -51,8 +57,10 @@ class Overlap:
     agree: int = 6
     #: Jaccard: rare shingles two sets must share in the lists.
     agree_near: int = 6
-    #: Jaccard: keys that one task joins at once, about.
+    #: Keys that one task joins at once, about.
     keys_at_once: int = 250_000
+    #: Entries of a list beyond which it is split into shares of that size.
+    hot: int = 1 << 14
 
 
 class Sets:
@@ -86,14 +94,20 @@ def _slices(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[Sets]:
             yield Sets(batch.slice(at, _ROWS_AT_ONCE), words)
 
 
-def _unseen(sets: Sets, seen: set[int], least: int = 1) -> None:
-    """Keep the first row of each class in this task: copies are combined before anything is sent."""
-    keep = np.zeros(len(sets.classes), bool)
-    for i, (c, n) in enumerate(zip(sets.classes.tolist(), sets.sizes.tolist())):
-        if n >= least and c not in seen:
-            seen.add(c)
-            keep[i] = True
-    sets.take(keep)
+class _Seen:
+    """Keeps the first row of each class in a task: copies are combined before anything is sent."""
+
+    def __init__(self) -> None:
+        self.classes = np.empty(0, np.int64)
+
+    def keep(self, sets: Sets) -> Sets:
+        """Only the rows with shingles whose class is new."""
+        first = np.zeros(len(sets.classes), bool)
+        first[np.unique(sets.classes, return_index=True)[1]] = True
+        sets.take(first & (sets.sizes > 0) & ~np.isin(sets.classes, self.classes))
+        held = self.classes if len(self.classes) < _REMEMBERED else np.empty(0, np.int64)
+        self.classes = np.concatenate((held, sets.classes))
+        return sets
 
 
 def _texts(df: DataFrame, key: str, texts: Column | str) -> DataFrame:
@@ -106,8 +120,10 @@ class Profile:
     SCHEMA = "id bigint, class bigint, n int, block int, data binary"
 
     def __init__(self, texts: DataFrame, o: Overlap):
+        bits = count_bits(self._expected(texts))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counter = Counter()
+            counter = Counter(bits)
             for s in _slices(batches, o.words):
                 counter.add(s.values)
                 empty = pa.nulls(len(s.ids), pa.int32()), pa.nulls(len(s.ids), pa.binary())
@@ -117,9 +133,18 @@ class Profile:
             yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(numbers), pa.int32()), pa.array(numbers, pa.int32()), pa.array(datas, pa.binary())], ["id", "class", "n", "block", "data"])
 
         self.table, self.path = write_table(texts.mapInArrow(run, self.SCHEMA), "profile")
-        self.counts = merge_counts(self.table.filter("block is not null").select("block", "data"))
+        self.counts = merge_counts(self.table.filter("block is not null").select("block", "data"), bits)
         #: (class, id): every record with at least one shingle, once.
         self.members = self.table.filter("block is null and n > 0").select("class", "id", "n").distinct()
+        #: Number of shingles of all records, repeated ones included.
+        self.total = self.table.filter("block is null").agg(F.sum("n")).first()[0] or 0
+
+    @staticmethod
+    def _expected(texts: DataFrame) -> int:
+        """About how many shingles there are: rows times the mean of the first ones, of whose texts only the lengths are collected."""
+        length = F.aggregate(F.coalesce("texts", F.array().cast("array<string>")), F.lit(0), lambda n, t: n + F.coalesce(F.length(t), F.lit(0)))
+        first = texts.select(length.alias("n")).limit(SIZING_ROWS).toArrow()["n"].to_numpy()
+        return int(texts.select("id").count() * first.mean()) // _CHARACTERS if len(first) else 0
 
 
 def _broadcast(df: DataFrame, value: object):  # noqa: ANN202
@@ -131,19 +156,22 @@ def _verified(texts: DataFrame, profile: Profile, pairs: DataFrame, o: Overlap,
     pairs, _ = write_table(pairs, "candidates")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     chosen, _ = write_table(profile.members.join(wanted, "class").groupBy("class").agg(F.min("id").alias("id")).select("id"), "chosen")
-    if chosen.count() <= BROADCAST_ROWS:
+    number, known = chosen.count(), None
+    bits = filter_bits(number)
+    if number <= BROADCAST_ROWS:
         texts = texts.join(F.broadcast(chosen), "id", "left_semi")
-        known = None
+    elif bits is None:
+        texts = texts.join(chosen, "id", "left_semi")
     else:
-        known = _broadcast(texts, bits_of_column(chosen, "id"))
+        known = _broadcast(texts, bits_of_column(chosen, "id", bits))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = _Seen()
         for batch in batches:
             if known is not None:
                 batch = batch.filter(pa.array(may_contain(known.value, mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))))
             for s in _slices([batch], o.words):
-                _unseen(s, seen)
+                seen.keep(s)
                 yield pa.RecordBatch.from_arrays([pa.array(s.classes), pa.array([_packed(v) for v in np.split(s.values, s.offsets[1:-1])] if len(s.sizes) else [], pa.binary())], ["class", "hashes"])
 
     sets = texts.mapInArrow(read, "class bigint, hashes binary").dropDuplicates(["class"])
@@ -187,25 +215,143 @@ def shared_counts(xs: np.ndarray, xn: np.ndarray, ys: np.ndarray, yn: np.ndarray
     return np.bincount(twice.astype(np.int64), minlength=len(xn))
 
 
-def union_estimate(xs: np.ndarray, xn: np.ndarray, ys: np.ndarray, yn: np.ndarray, k: int) -> np.ndarray:
-    """Jaccard similarity estimated from bottom-k sketches: the share of the k smallest values of the union that both sets hold."""
+# -- packed lists ------------------------------------------------------------------------------------------------------
+
+
+class _Buckets:
+    """Keys of one task, gathered and then packed by bucket: 32 bits of hash, code, size and place each, the middle two once for each class in a bucket."""
+
+    ROWS = 1 << 20
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.number = np.uint64(buckets), [], 0
+
+    def add(self, values: np.ndarray, place: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Keys of one class must come one after another."""
+        self.held.append((values, place, classes, sizes))
+        self.number += len(values)
+        if self.number >= self.ROWS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.number:
+            return
+        values, place, classes, sizes = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.number = [], 0
+        bucket = ((values >> np.uint64(HASH_BITS - 32)) * self.buckets) >> np.uint64(32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, values, place, classes, sizes = bucket[order], values[order], place[order], classes[order], sizes[order]
+        new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (classes[1:] != classes[:-1])))
+        begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        datas = []
+        for lo, hi in zip(begin.tolist(), np.append(begin[1:], len(bucket)).tolist()):
+            first = lo + np.flatnonzero(new[lo:hi])
+            head = np.array([len(first), hi - lo], np.uint64).tobytes()
+            datas.append(head + _planes(classes[first].view(np.uint64)) + _planes(sizes[first]) + _planes(np.diff(np.append(first, hi))) + _planes(values[lo:hi]) + _planes(place[lo:hi]))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int64)), pa.array(datas, pa.binary())], ["bucket", "data"])
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The low four bytes of each number, plane by plane, so that empty planes compress away."""
+    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :4].T).tobytes()
+
+
+def _from_planes(data: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+
+
+def _unpacked(datas: list[pa.Buffer]) -> tuple[np.ndarray, ...]:
+    """(key, code, size, place) of each key; repeated ones, which copies send from several tasks, once."""
+    parts = []
+    for data in datas:
+        flat = np.frombuffer(data, np.uint8)
+        rows, keys = (int(x) for x in flat[:16].view(np.uint64))
+        at, own = 16, []
+        for n in (rows, rows, rows, keys, keys):
+            own.append(_from_planes(flat[at : at + 4 * n]))
+            at += 4 * n
+        names, sizes, number, values, place = own
+        parts.append((values, np.repeat(names, number), np.repeat(sizes, number), place))
+    key, name, n, place = (np.concatenate(x) for x in zip(*parts)) if parts else [np.empty(0, np.int64)] * 4
+    order = np.lexsort((place, name, n, key))
+    key, name, n, place = key[order], name[order], n[order], place[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1]) | (n[1:] != n[:-1]) | (place[1:] != place[:-1])
+    return key[new], name[new], n[new], place[new]
 
-    def bottom(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
-        return values[place < k], np.minimum(n, k)
 
-    xs, xn = bottom(xs, xn)
-    ys, yn = bottom(ys, yn)
-    row = np.concatenate((np.repeat(np.arange(len(xn)), xn), np.repeat(np.arange(len(yn)), yn))).astype(np.uint64)
-    key = np.sort((row << np.uint64(HASH_BITS)) | np.concatenate((xs, ys)))
-    if not len(key):
-        return np.zeros(len(xn))
-    new = np.concatenate(([True], key[1:] != key[:-1]))
-    both = np.append(~new[1:], False)[new]
-    row = (key[new] >> np.uint64(HASH_BITS)).astype(np.int64)
-    first = np.searchsorted(row, np.arange(len(xn)))
-    kept = np.arange(len(row)) - first[row] < k
-    return np.bincount(row[kept & both], minlength=len(xn)) / np.maximum(1, np.bincount(row[kept], minlength=len(xn)))
+#: Bits of a packed place that tell the side of a split list, and its values: any, left, right.
+_SIDE = 30
+
+
+def _shares(level: np.ndarray, hot: int) -> np.ndarray:
+    """Into how many shares each key's list is split."""
+    return np.maximum(1, np.ceil(count_at(level) / hot)).astype(np.int64)
+
+
+def _share_key(values: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The key of one share of a list."""
+    return mix(values ^ mix(share.astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - HASH_BITS)
+
+
+def _repeat(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, turn): every index as often as told, counted from 0."""
+    at = np.repeat(np.arange(len(number)), number)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(number) - number, number)
+
+
+_PAIRS_AT_ONCE = 1 << 20
+
+
+class _Pairs:
+    """Pairs of codes, counted; ``least`` is the smallest number of meetings that makes a pair a candidate."""
+
+    def __init__(self) -> None:
+        self.held, self.out, self.number = [], [], 0
+
+    def add(self, x: np.ndarray, y: np.ndarray, least: np.ndarray) -> None:
+        if len(x):
+            self.held.append(((x.astype(np.uint64) << np.uint64(32)) | y.astype(np.uint64), least))
+            self.number += len(x)
+        if self.number > _PAIRS_AT_ONCE:
+            self._fold()
+
+    def _fold(self) -> None:
+        if not self.held:
+            return
+        pairs, least = (np.concatenate(x) for x in zip(*self.held))
+        order = np.argsort(pairs, kind="stable")
+        pairs, least = pairs[order], least[order]
+        first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+        self.out.append((pairs[first].view(np.int64), np.diff(np.append(first, len(pairs))).astype(np.int32), np.minimum.reduceat(least, first).astype(np.int32)))
+        self.held, self.number = [], 0
+
+    def table(self) -> pa.Table:
+        self._fold()
+        pairs, number, least = (np.concatenate(x) for x in zip(*self.out)) if self.out else (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32))
+        return pa.table({"pair": pairs, "c": number, "agree": least})
+
+
+_PAIR_SCHEMA = "pair bigint, c int, agree int"
+
+
+def _ranges(number: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index, turn) as :func:`_repeat`, some ``_PAIRS_AT_ONCE`` at a time; a longer range is cut."""
+    ends, at, done, total = np.cumsum(number), 0, 0, int(number.sum())
+    while done < total:
+        to = min(total, done + _PAIRS_AT_ONCE)
+        flat = np.arange(done, to)
+        index = np.searchsorted(ends, flat, "right")
+        yield index, flat - (ends[index] - number[index])
+        done = to
+
+
+def _candidates(met: DataFrame, profile: Profile) -> DataFrame:
+    """(p, q): all classes of the codes of pairs that meet often enough."""
+    met = met.groupBy("pair").agg(F.sum("c").alias("c"), F.min("agree").alias("agree")).filter("c >= agree")
+    met = met.select(F.shiftrightunsigned("pair", 32).alias("x"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("y"))
+    names = profile.members.select("class", code(F.col("class")).alias("code")).distinct()
+    return met.join(names.select(F.col("class").alias("p"), F.col("code").alias("x")), "x").join(names.select(F.col("class").alias("q"), F.col("code").alias("y")), "y").select("p", "q")
 
 
 # -- across splits ---------------------------------------------------------------------------------------------------
@@ -216,51 +362,57 @@ def contained_classes(evaluation: DataFrame, training: DataFrame, everything: Da
 
     A set of n shingles of which ``need`` must be shared sends its n - need + g rarest into the lists: a
     training set that holds ``need`` of them all shares at least g of those, whatever they are.  Training
-    texts are scanned against a bit sketch of the sent hashes, of fixed size, so that only possible hits
-    are shuffled.  No case is lost: rarity only decides which shingles are sent.
+    sets send all their hashes, partitioned in the same way, so that no summary of the evaluation's has to fit anywhere; those with fewer
+    than ``need`` don't meet.  No case is lost: rarity only decides which shingles are sent.
+    A hot list is split by training class, and evaluation sets send to all of its shares.
     """
     counts = _broadcast(everything, profile.counts)
     num, den = o.containment
+    buckets = max(1, profile.total // o.keys_at_once)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        bits = Bits()
+        seen, out = _Seen(), _Buckets(buckets)
         for s in _slices(batches, o.words):
-            _unseen(s, seen)
+            seen.keep(s)
             need = -(-num * s.sizes // den)
-            agree = np.minimum(o.agree, need)
             values, place = s.ranked(count_level(counts.value, s.values))
-            keep = place < (s.sizes - need + agree)[s.owner]
-            bits.add(mix(values[keep]))
-            owner = s.owner[keep]
-            none = pa.nulls(len(owner), pa.int32()), pa.nulls(len(owner), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(s.classes[owner]), pa.array(agree[owner].astype(np.int32)), *none], ["value", "a", "agree", "block", "data"])
-        numbers, datas = blocks_of(bits.packed())
-        none = pa.nulls(len(numbers), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(numbers), pa.int32()), pa.array(numbers, pa.int32()), pa.array(datas, pa.binary())], ["value", "a", "agree", "block", "data"])
-
-    sent, _ = write_table(evaluation.mapInArrow(send, "value bigint, a bigint, agree int, block int, data binary"), "sent")
-    wanted = _broadcast(everything, merge_bits(sent.filter("block is not null").select("block", "data")))
+            keep = place < (s.sizes - need + np.minimum(o.agree, need))[s.owner]
+            values, owner = values[keep], s.owner[keep]
+            shares = _shares(count_level(counts.value, values), o.hot)
+            at, share = _repeat(shares)
+            values, owner, split = values[at], owner[at], shares[at] > 1
+            values[split] = _share_key(values[split], share[split])
+            yield from out.add(values, np.zeros(len(values), np.int64), s.classes[owner], s.sizes[owner])
+        yield from out.flush()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen, out = _Seen(), _Buckets(buckets)
         for s in _slices(batches, o.words):
-            _unseen(s, seen)
-            hit = may_contain(wanted.value, mix(s.values))
-            yield pa.RecordBatch.from_arrays([pa.array(s.values[hit].view(np.int64)), pa.array(s.classes[s.owner[hit]])], ["value", "b"])
-
-    keys = sent.filter("block is null").select("value", "a", "agree").repartition("value").dropDuplicates(["value", "a"])
-    hits = training.mapInArrow(scan, "value bigint, b bigint").repartition("value").dropDuplicates(["value", "b"])
-    matches = keys.join(hits, "value")
-    # the largest shuffle: two short codes share one number, as long as few classes share a code
-    names = profile.members.select("class", code(F.col("class")).alias("code")).distinct()
-    if profile.members.select("class").distinct().count() < SHORT_CODES:
-        met = matches.groupBy(F.shiftleft(code(F.col("a")), 32).bitwiseOR(code(F.col("b"))).alias("pair")).agg(F.count("*").alias("c"), F.min("agree").alias("agree")).filter("c >= agree")
-        met = met.select(F.shiftrightunsigned("pair", 32).alias("x"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("y"))
-        met = met.join(names.select(F.col("class").alias("a"), F.col("code").alias("x")), "x").join(names.select(F.col("class").alias("b"), F.col("code").alias("y")), "y").select("a", "b")
-    else:
-        met = matches.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("agree").alias("agree")).filter("c >= agree").select("a", "b")
-    return _verified(everything, profile, met, o, lambda shared, x, y: shared * den >= num * x)
+            seen.keep(s)
+            shares = _shares(count_level(counts.value, s.values), o.hot)
+            split = shares > 1
+            values = s.values.copy()
+            values[split] = _share_key(values[split], mix(s.classes.view(np.uint64))[s.owner][split] % shares[split].astype(np.uint64))
+            yield from out.add(values, np.zeros(len(values), np.int64), s.classes[s.owner], s.sizes[s.owner])
+        yield from out.flush()
+
+    def meet(table: pa.Table) -> pa.Table:
+        side, data = table.column("training").to_numpy(), table.column("data").combine_chunks()
+        key, name, n, _ = _unpacked([data[i].as_buffer() for i in np.flatnonzero(~side)])
+        tkey, tname, tn, _ = _unpacked([data[i].as_buffer() for i in np.flatnonzero(side)])
+        need = -(-num * n // den)
+        at = (tkey << 31) | tn  # sorted; sizes stay below 2**31
+        first = np.searchsorted(at, (key << 31) | need, "left")
+        number = np.searchsorted(at, (key << 31) | (2**31 - 1), "right") - first
+        pairs = _Pairs()
+        for i, turn in _ranges(number):
+            pairs.add(name[i], tname[first[i] + turn], np.minimum(o.agree, need[i]))
+        return pairs.table()
+
+    packed = lambda df, run, side: df.mapInArrow(run, "bucket bigint, data binary").withColumn("training", F.lit(side))
+    sent = packed(evaluation, send, False).union(packed(training, scan, True))
+    met = _candidates(sent.groupBy("bucket").applyInArrow(meet, _PAIR_SCHEMA), profile)
+    return _verified(everything, profile, met.select(F.col("p").alias("a"), F.col("q").alias("b")), o, lambda shared, x, y: shared * den >= num * x)
 
 
 def cross_split(df: DataFrame, key: str, texts: Column | str, split: Column, same: Column | None = None, o: Overlap = Overlap(), training: str = "train", evaluation: tuple[str, ...] = ("dev", "test")) -> DataFrame:
@@ -293,150 +445,61 @@ def cross_split(df: DataFrame, key: str, texts: Column | str, split: Column, sam
 def near_classes(texts: DataFrame, profile: Profile, o: Overlap) -> DataFrame:
     """(a, b), a < b: different classes whose sets have a Jaccard similarity of at least ``o.jaccard``.
 
-    A set of n shingles shares at least ``need`` = n * ``o.jaccard`` with any such partner, so that both, sending their
-    n - need + g rarest into the lists, meet at least g times, whatever is rare.  At the k-th common shingle at
-    most k - 1 are behind; a meeting that leaves too few shingles in either set for the limit does not count.
-    No case is lost, and pairs that meet often enough are compared by whole sets.  Lists are joined by buckets of keys: a
-    task's keys for one bucket travel as one packed row.
+    One hash orders every set, rare shingles first, and its bottom-k sketch is retained.  As a set of n shingles shares at
+    least ``need`` = n * ``o.jaccard`` with any such partner, k = n - need + g makes partners meet at least g times in the inverted lists of retained values,
+    whatever is rare.  The union of two sketches bounds their similarity: at the k-th common value at most k - 1 are behind and no
+    more can follow than either set has left.  A meeting that leaves too few for the limit does not count, and pairs with fewer than g
+    that do are no candidates; this is the sketches' estimate of the similarity, taken as a bound, so that it loses no case.
+    Candidates are compared by whole sets.  A hot list of m shares becomes m * (m + 1) / 2 lists, one for each two shares.
     """
     counts = _broadcast(texts, profile.counts)
     num, den = o.jaccard
-    total = profile.table.filter("block is null").agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, total * (den - num) // den // o.keys_at_once)
+    buckets = max(1, profile.total * (den - num) // den // o.keys_at_once)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen, out = _Seen(), _Buckets(buckets)
         for s in _slices(batches, o.words):
-            _unseen(s, seen)
+            seen.keep(s)
             need = -(-num * s.sizes // den)
             values, place = s.ranked(count_level(counts.value, s.values))
             keep = place < (s.sizes - need + np.minimum(o.agree_near, need))[s.owner]
             values, place, owner = values[keep], place[keep], s.owner[keep]
-            bucket = (mix(values) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            names, begin = np.unique(bucket[order], return_index=True)
-            datas = [_packed_keys(values[i], place[i], s.classes, s.sizes, owner[i]) for i in np.split(order, begin[1:])] if len(names) else []
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(datas, pa.binary())], ["bucket", "data"])
+            shares = _shares(count_level(counts.value, values), o.hot)
+            at, other = _repeat(shares)
+            values, place, owner, split = values[at], place[at], owner[at], shares[at] > 1
+            own = (mix(s.classes.view(np.uint64))[owner] % shares[at].astype(np.uint64)).astype(np.int64)
+            values[split] = _share_key(values[split], ((np.minimum(own, other) << 24) | np.maximum(own, other))[split])
+            side = np.where(own == other, 0, np.where(own < other, 1, 2))
+            yield from out.add(values, place | (side << _SIDE), s.classes[owner], s.sizes[owner])
+        yield from out.flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        pairs, number, agree = _meetings([v.as_buffer() for v in table.column("data").combine_chunks()], o)
-        return pa.table({"pair": pairs, "c": number, "agree": agree})
+        return _meetings([v.as_buffer() for v in table.column("data").combine_chunks()], o)
 
-    met = texts.mapInArrow(send, "bucket int, data binary").groupBy("bucket").applyInArrow(meet, "pair bigint, c int, agree int")
-    met = met.groupBy("pair").agg(F.sum("c").alias("c"), F.min("agree").alias("agree")).filter("c >= agree")
-    # short codes: all classes of both codes are candidates
-    met = met.select(F.shiftrightunsigned("pair", 32).alias("x"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).alias("y"))
-    names = profile.members.select("class", code(F.col("class")).alias("code")).distinct()
-    met = met.join(names.select(F.col("class").alias("p"), F.col("code").alias("x")), "x").join(names.select(F.col("class").alias("q"), F.col("code").alias("y")), "y")
+    met = _candidates(texts.mapInArrow(send, "bucket bigint, data binary").groupBy("bucket").applyInArrow(meet, _PAIR_SCHEMA), profile)
     met = met.filter("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     return _verified(texts, profile, met, o, lambda shared, p, q: shared * (den + num) >= num * (p + q))
 
 
-def _planes(values: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of each number, plane by plane, so that empty planes compress away."""
-    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def _from_planes(data: np.ndarray, width: int) -> np.ndarray:
-    wide = np.zeros((len(data) // width, 8), np.uint8)
-    wide[:, :width] = data.reshape(width, -1).T
-    return wide.view(np.uint64).ravel()
-
-
-def _packed_keys(values: np.ndarray, place: np.ndarray, classes: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> bytes:
-    """Keys in the order of their owners, and each owner's class, size and number of keys once."""
-    rows, number = np.unique(owner, return_counts=True)
-    head = np.array([len(rows), len(values)], np.uint64).tobytes()
-    return head + _planes(classes[rows].view(np.uint64), 8) + _planes(sizes[rows], 4) + _planes(number, 4) + _planes(values, _HASH_BYTES) + _planes(place, 4)
-
-
-def _unpacked_keys(data: pa.Buffer) -> tuple[np.ndarray, ...]:
-    """(key, class, size, place) of each key."""
-    flat = np.frombuffer(data, np.uint8)
-    rows, keys = (int(x) for x in flat[:16].view(np.uint64))
-    parts, at = [], 16
-    for n, width in ((rows, 8), (rows, 4), (rows, 4), (keys, _HASH_BYTES), (keys, 4)):
-        parts.append(_from_planes(flat[at : at + n * width], width))
-        at += n * width
-    classes, sizes, number, values, place = parts
-    number = number.astype(np.int64)
-    return values, np.repeat(classes.view(np.int64), number), np.repeat(sizes.astype(np.int64), number), place.astype(np.int64)
-
-
-_PAIRS_AT_ONCE = 1 << 20
-
-
-def _meetings(datas: list[pa.Buffer], o: Overlap) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _meetings(datas: list[pa.Buffer], o: Overlap) -> pa.Table:
     """(pair of codes, meetings that count, meetings needed) of the classes in one bucket's lists."""
     num, den = o.jaccard
-    key, name, n, place = (np.concatenate(x) for x in zip(*(_unpacked_keys(d) for d in datas)))
-    order = np.lexsort((name, n, key))
-    key, name, n, place = key[order], name[order], n[order], place[order]
-    once = np.concatenate(([True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])))  # copies sent by several tasks
-    key, name, n, place = key[once], name[once], n[once], place[once]
-    short = (name.view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    key, name, n, place = _unpacked(datas)
+    side, place = place >> _SIDE, place & ((1 << _SIDE) - 1)
     agree = np.minimum(o.agree_near, -(-num * n // den))
-    group = np.cumsum(np.concatenate(([False], key[1:] != key[:-1]))).astype(np.int64)
-    number = np.searchsorted((group << 32) | n, (group << 32) | (n * den // num), "right") - np.arange(len(key)) - 1
-    ends = np.cumsum(number)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    held: list[np.ndarray] = []
-    held_agree: list[np.ndarray] = []
-
-    def fold() -> None:
-        pairs, agreed = np.concatenate(held), np.concatenate(held_agree)
-        order = np.argsort(pairs, kind="stable")
-        pairs, agreed = pairs[order], agreed[order]
-        first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
-        out.append((pairs[first].view(np.int64), np.diff(np.append(first, len(pairs))).astype(np.int32), np.minimum.reduceat(agreed, first).astype(np.int32)))
-        held.clear()
-        held_agree.clear()
-
-    at = 0
-    while at < len(key):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS_AT_ONCE, "right")))
-        some = number[at:to]
-        i = np.repeat(np.arange(at, to), some)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some)
+    # partners follow in the list, which is sorted by size: none larger than the limit, or than this meeting's place, allows
+    most = np.minimum(n * den // num, (agree - 1 + n - place) * (den + num) // num - n)
+    at = (key << 31) | n
+    number = np.maximum(0, np.searchsorted(at, (key << 31) | most, "right") - np.arange(len(key)) - 1)
+    pairs = _Pairs()
+    for i, turn in _ranges(number):
+        j = i + 1 + turn
         least = np.minimum(agree[i], agree[j])
         ok = (least - 1 + np.minimum(n[i] - place[i], n[j] - place[j])) * (den + num) >= num * (n[i] + n[j])
-        x, y = short[i[ok]], short[j[ok]]
-        if len(x):
-            held.append((np.minimum(x, y).astype(np.uint64) << np.uint64(32)) | np.maximum(x, y).astype(np.uint64))
-            held_agree.append(least[ok])
-        if sum(map(len, held)) > _PAIRS_AT_ONCE:
-            fold()
-        at = to
-    if held:
-        fold()
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop lists of one class and repeated rows from rows sorted by (key, class), holding back one row at a time."""
-    held: pa.RecordBatch | None = None
-    held_sent = False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        carried = held is not None
-        whole = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if carried else batch
-        key, name = whole.column(0).to_numpy(), whole.column(1).to_numpy()
-        same_key = key[1:] == key[:-1]
-        new = np.concatenate(([True], ~same_key | (name[1:] != name[:-1])))
-        at = np.flatnonzero(new)
-        k = key[at]
-        with_next = np.append(k[1:] == k[:-1], False)
-        keep = with_next | np.concatenate(([False], with_next[:-1]))
-        if carried and held_sent:
-            keep[0] = False  # sent before
-        if carried and held_sent and len(at) > 1 and k[1] == k[0]:
-            keep[1] = True
-        yield whole.take(pa.array(at[keep]))
-        last_sent = bool(keep[-1]) or (len(at) == 1 and carried and held_sent)
-        held, held_sent = whole.slice(int(at[-1]), 1), last_sent
+        ok &= (side[i] == 0) | (side[i] != side[j])
+        i, j = i[ok], j[ok]
+        pairs.add(np.minimum(name[i], name[j]), np.maximum(name[i], name[j]), least[ok])
+    return pairs.table()
 
 
 def near_duplicates(df: DataFrame, key: str, texts: Column | str, o: Overlap = Overlap()) -> tuple[Profile, DataFrame]:
