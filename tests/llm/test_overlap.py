@@ -180,4 +180,4 @@ def test_sketches(spark):
     numbers, datas = S.blocks_of(counter.cells)
     merged = S.merge_counts(spark.createDataFrame(list(zip(numbers, map(bytearray, datas))) * 2, "block int, data binary"), 12)
     assert S.count_at(S.count_level(merged, np.arange(10, dtype=np.uint64))) == pytest.approx(2 * np.arange(10), rel=0.05)
-    assert S.count_bits(0) == 12 and S.count_bits(10**6) == 20 and S.count_bits(10**12) == S.MOST_COUNT_BITS
+    assert S.count_bits(0) == 12 and S.count_bits(10**6) == 18 and S.count_bits(10**12) == S.MOST_COUNT_BITS

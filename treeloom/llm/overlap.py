@@ -58,7 +58,7 @@ class Overlap:
     #: Jaccard: rare shingles two sets must share in the lists.
     agree_near: int = 6
     #: Keys that one task joins at once, about.
-    keys_at_once: int = 250_000
+    keys_at_once: int = 400_000
     #: Entries of a list beyond which it is split into shares of that size.
     hot: int = 1 << 14
 
@@ -219,7 +219,10 @@ def shared_counts(xs: np.ndarray, xn: np.ndarray, ys: np.ndarray, yn: np.ndarray
 
 
 class _Buckets:
-    """Keys of one task, gathered and then packed by bucket: 32 bits of hash, code, size and place each, the middle two once for each class in a bucket."""
+    """Keys of one task, gathered and then packed by bucket: 24 bits of hash, code, size and place each, the middle two once for each class in a bucket.
+
+    A bucket holds as many keys at any size of the table, so that a few in a hundred share their 24 bits with another: meetings by chance, which only add candidates.
+    """
 
     ROWS = 1 << 20
 
@@ -247,17 +250,19 @@ class _Buckets:
         for lo, hi in zip(begin.tolist(), np.append(begin[1:], len(bucket)).tolist()):
             first = lo + np.flatnonzero(new[lo:hi])
             head = np.array([len(first), hi - lo], np.uint64).tobytes()
-            datas.append(head + _planes(classes[first].view(np.uint64)) + _planes(sizes[first]) + _planes(np.diff(np.append(first, hi))) + _planes(values[lo:hi]) + _planes(place[lo:hi]))
+            datas.append(head + _planes(classes[first].view(np.uint64)) + _planes(sizes[first]) + _planes(np.diff(np.append(first, hi))) + _planes(values[lo:hi], 3) + _planes(place[lo:hi]))
         yield pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int64)), pa.array(datas, pa.binary())], ["bucket", "data"])
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """The low four bytes of each number, plane by plane, so that empty planes compress away."""
-    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :4].T).tobytes()
+def _planes(values: np.ndarray, width: int = 4) -> bytes:
+    """The low bytes of each number, plane by plane, so that empty planes compress away."""
+    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _from_planes(data: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(data.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+def _from_planes(data: np.ndarray, width: int = 4) -> np.ndarray:
+    wide = np.zeros((len(data) // width, 4), np.uint8)
+    wide[:, :width] = data.reshape(width, -1).T
+    return wide.view(np.uint32).ravel().astype(np.int64)
 
 
 def _unpacked(datas: list[pa.Buffer]) -> tuple[np.ndarray, ...]:
@@ -267,9 +272,9 @@ def _unpacked(datas: list[pa.Buffer]) -> tuple[np.ndarray, ...]:
         flat = np.frombuffer(data, np.uint8)
         rows, keys = (int(x) for x in flat[:16].view(np.uint64))
         at, own = 16, []
-        for n in (rows, rows, rows, keys, keys):
-            own.append(_from_planes(flat[at : at + 4 * n]))
-            at += 4 * n
+        for n, width in ((rows, 4), (rows, 4), (rows, 4), (keys, 3), (keys, 4)):
+            own.append(_from_planes(flat[at : at + width * n], width))
+            at += width * n
         names, sizes, number, values, place = own
         parts.append((values, np.repeat(names, number), np.repeat(sizes, number), place))
     key, name, n, place = (np.concatenate(x) for x in zip(*parts)) if parts else [np.empty(0, np.int64)] * 4

@@ -7,33 +7,26 @@ holdout.  Samples for fitting are bounded by parameters; statistics and predicti
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treeloom.functions.shingles import _power_tables, mix
 from treeloom.session import write_table
 
 #: Documents drawn for weak labels, documents of those that are mixed, and labelled documents for calibration.
 WEAK_SAMPLE, MIXED_SAMPLE, HOLDOUT_SAMPLE = 8000, 1500, 20_000
 
-_WORD = re.compile(r"[^\W_]+")
-_LETTERS = re.compile(r"[^\W\d_]+")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,80}>")
-_BULLET = re.compile(r"\s*(?:[-*•–+]|\(?[0-9]{1,4}[.):]?|[a-z][.)])\s")
-_DAMAGE = re.compile(r"�|Ã.|â€.|Â(?=[\s°])|[\x00-\x08\x0e-\x1f]")
-_KANA = re.compile(r"[぀-ヿ]")
-_WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
-_CELL = re.compile(r"[\t|;]|\s{2,}|,(?=\S)")
-_END = tuple(".!?…。！？:;”\"'»)")
-_STOP = tuple(".!?…。！？")
-_RUN = re.compile(r"(.)\1{4,}", re.S)
+#: Marks that end a line or a sentence, bullets, vowels, and the ranges of wide scripts.
+_END, _STOP, _WIDE_STOP = ".!?…。！？:;”\"'»)", ".!?…。！？", "。！？"
+_BULLETS, _CELLS, _VOWELS = "-*•–+", "|;", "aeiouyäöüéèêàáíóúâîôûœ"
+_KANA, _WIDE = ((0x3040, 0x30FF),), ((0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7A3))
 
 FEATURES = (
     "word_count", "mean_word_length", "symbol_share", "punct_line_share", "common_share",
@@ -44,76 +37,270 @@ FEATURES = (
 PUBLIC = FEATURES[:5]
 
 
-def statistics(text: str | None, common: frozenset[str]) -> list[float]:
-    """The features of one text.  Null, empty and blank texts have 0 everywhere.
+# -- code points
 
-    word_count: maximal runs of letters and digits; mean_word_length: their mean length; symbol_share: characters that are
-    neither letters, digits nor white space, of all characters; punct_line_share: lines ending in punctuation, of lines that
-    are not blank; common_share: words in the common words of any language, of all words.
-    """
-    if not text or not text.strip():
-        return [0.0] * len(FEATURES)
-    size = len(text)
-    lower = text.lower()
-    words = _WORD.findall(lower)
-    n = len(words)
-    solid = sum(map(len, words))
-    blank = sum(map(len, text.split()))
-    kinds = Counter(text)
-    symbols = sum(k for c, k in kinds.items() if not c.isalnum() and not c.isspace())
-    lines = [x.strip() for x in text.splitlines() if x.strip()]
-    ends = sum(x.endswith(_END) for x in lines)
-    stops = sum(x.endswith(_STOP) for x in lines)
-    is_common = [w in common for w in words]
-    hits = sum(is_common)
-    digits = sum(w.isdigit() for w in words)
-    counts = Counter(words)
-    chars = np.array(list(kinds.values()), float) / size
-    wide = sum(k for c, k in kinds.items() if _WIDE.match(c))
-    kana = sum(k for c, k in kinds.items() if _KANA.match(c))
-    tags = sum(map(len, _TAG.findall(text)))
-    prose = listed = short = bullets = 0
-    cells = len(_CELL.findall(text))
-    for x in lines:
-        w = _WORD.findall(x.lower().replace("n/a", "0"))
-        share = sum(len(a) > 1 and a in common for a in w) / len(w) if w else 0.0
-        figures = sum(a.isdigit() for a in w)
-        broad = len(_WIDE.findall(x)) if wide else 0
-        if broad > 0.4 * len(x):
-            good = broad >= 12 and len(_KANA.findall(x)) >= 0.25 * broad and not _RUN.search(x)
-        else:
-            good = len(w) >= 6 and share >= 0.15 and figures < 0.3 * len(w) and not _damaged(x)
-        prose += len(x) * good
-        begins = bool(_BULLET.match(x))
-        bullets += begins
-        few = len(w) <= 6
-        short += few
-        listed += len(x) * (not good and (begins or few))
-    gaps, last = [], -1
-    for i, hit in enumerate(is_common):
-        if hit:
-            gaps.append(i - last)
-            last = i
-    gaps.append(n - last)
-    letters = "".join(_LETTERS.findall(lower))
-    vowels = sum(k for c, k in Counter(letters).items() if c in "aeiouyäöüéèêàáíóúâîôûœ")
-    sentences = max(1, len(re.findall(r"[.!?。！？](?:\s|$|(?<=[。！？]))", text)))
-    pairs = set(zip(words, words[1:]))
-    values = (
-        n, solid / n if n else 0.0, symbols / size, ends / len(lines) if lines else 0.0, hits / n if n else 0.0,
-        np.log1p(size), sum(k for c, k in kinds.items() if c.isdigit()) / size, digits / n if n else 0.0, sum(k for c, k in kinds.items() if c.isupper()) / size, len(_DAMAGE.findall(text)) / size, kana / max(1, wide) if wide > 0.2 * blank else 0.0,
-        len(counts) / n if n else 0.0, max(counts.values()) / n if n else 1.0,
-        float(-(chars * np.log2(chars)).sum()), sum(len(m.group()) for m in _RUN.finditer(text)) / size, max(map(len, words)) if n else 0, n / max(1, len(lines)), short / max(1, len(lines)), bullets / max(1, len(lines)), cells / max(1, n), tags / size,
-        stops / max(1, len(lines)), 1 - len(set(lines)) / max(1, len(lines)), prose / max(1, sum(map(len, lines))), listed / max(1, sum(map(len, lines))), float(np.mean(gaps)), vowels / max(1, len(letters)), n / sentences, len(pairs) / max(1, n - 1), 1 - blank / size,
-    )
-    return [float(v) for v in values]
+_FLAGS = ("word", "digit", "decimal", "space", "upper", "kana", "wide", "line", "end", "stop", "vowel")
+_BIT = {name: np.uint16(1 << k) for k, name in enumerate(_FLAGS)}
+_KNOWN = np.uint16(1 << 15)
+_kinds = np.zeros(0x110000, np.uint16)
+
+
+def _flags_of(code: int) -> int:
+    c = chr(code)
+    inside = lambda ranges: any(a <= code <= b for a, b in ranges)
+    facts = (c.isalnum(), c.isdigit(), c.isdecimal(), c.isspace(), c.isupper(), inside(_KANA), inside(_WIDE), len(f"a{c}b".splitlines()) > 1, c in _END, c in _STOP, c in _VOWELS)
+    return sum(1 << k for k, x in enumerate(facts) if x)
+
+
+def _kinds_of(codes: np.ndarray) -> np.ndarray:
+    """Flags of each code point; the table of all of them is filled as they turn up."""
+    kinds = _kinds[codes]
+    unknown = kinds == 0
+    if unknown.any():
+        new = np.unique(codes[unknown])
+        _kinds[new] = np.array([_flags_of(int(c)) for c in new], np.uint16) | _KNOWN
+        kinds = _kinds[codes]
+    return kinds
+
+
+def _sum(owner: np.ndarray, number: int, weight: np.ndarray | None = None) -> np.ndarray:
+    return np.bincount(owner, weight, number).astype(np.float64)
+
+
+def _runs(inside: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each run of true values; a run also ends before a cut."""
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1] | cut[1:-1]
+    end[:-1] &= ~inside[1:] | cut[1:-1]
+    return np.flatnonzero(begin), np.flatnonzero(end) + 1
 
 
-def _damaged(line: str) -> bool:
-    return 20 * len(_DAMAGE.findall(line)) > len(line)
+def _range_hashes(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of code points."""
+    up, down = _power_tables(len(codes))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[: len(codes)], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
-_ARROW_FEATURES = pa.list_(pa.float64())
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def common_hashes(words: frozenset[str]) -> np.ndarray:
+    """Sorted hashes of the lower-cased common words."""
+    listed = sorted(w for w in words if w)
+    if not listed:
+        return np.empty(0, np.uint64)
+    end = np.cumsum([len(w) for w in listed])
+    return np.sort(_range_hashes(_codes(listed), end - [len(w) for w in listed], end))
+
+
+def _distinct(owner: np.ndarray, values: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of distinct values, largest count of one) of each owner; values of 64 bits, of which the upper 40 are compared."""
+    if not len(owner):
+        return np.zeros(number), np.zeros(number)
+    key = np.sort((owner.astype(np.uint64) << np.uint64(40)) | (values >> np.uint64(24)))
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    count = np.diff(np.append(first, len(key)))
+    whose = (key[first] >> np.uint64(40)).astype(np.int64)
+    most = np.zeros(number)
+    np.maximum.at(most, whose, count)
+    return _sum(whose, number), most
+
+
+def statistics(texts: list[str | None], common: np.ndarray) -> np.ndarray:
+    """The features of each text, a row each: numpy passes over the code points of all of them at once.
+
+    ``common`` are :func:`common_hashes`.  Null, empty and blank texts have 0 everywhere.  word_count: maximal runs of letters
+    and digits of the lower-cased text; mean_word_length: their mean length; symbol_share: characters that are neither letters, digits nor white
+    space, of all characters; punct_line_share: lines ending in punctuation, of lines that are not blank; common_share: words in
+    the common words of any language, of all words.
+    """
+    texts = [t or "" for t in texts]
+    n = len(texts)
+    out = np.zeros((n, len(FEATURES)))
+    codes = _codes(texts)
+    if not len(codes):
+        return out
+    lengths = np.array([len(t) for t in texts])
+    edge = np.concatenate(([0], np.cumsum(lengths)))
+    lowered = "".join(texts).lower()
+    if len(lowered) == len(codes):
+        low, low_edge = np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), np.uint32), edge
+    else:  # a capital that becomes two characters
+        lows = [t.lower() for t in texts]
+        low, low_edge = _codes(lows), np.concatenate(([0], np.cumsum([len(t) for t in lows])))
+    kind = _kinds_of(codes)
+    is_ = lambda name, kinds=kind: (kinds & _BIT[name]) != 0
+    owner = np.repeat(np.arange(n), lengths)
+    cut = np.zeros(len(codes) + 1, bool)
+    cut[edge] = True
+    size = np.maximum(lengths, 1).astype(np.float64)
+    nxt = np.append(codes[1:], 0)
+    nxt[cut[1:]] = 10  # what follows a text's last character counts as a line end
+    space, wide, kana = is_("space"), is_("wide"), is_("kana")
+    next_space = np.append(space[1:], True) | cut[1:]
+    solid = _sum(owner[~space], n)
+
+    # words
+    low_kind = kind if low is codes else _kinds_of(low)
+    low_cut = np.zeros(len(low) + 1, bool)
+    low_cut[low_edge] = True
+    letterlike = (low_kind & _BIT["word"]) != 0
+    begin, end = _runs(letterlike, low_cut)
+    long = end - begin
+    word_owner = np.searchsorted(low_edge, begin, "right") - 1
+    hashed = _range_hashes(low, begin, end)
+    words = _sum(word_owner, n)
+    at_least = np.maximum(words, 1)
+    is_common = np.isin(hashed, common)
+    low_digits = np.concatenate(([0], np.cumsum((low_kind & _BIT["digit"]) != 0)))
+    is_figure = low_digits[end] - low_digits[begin] == long
+    hits = _sum(word_owner[is_common], n)
+    kinds_of_words, top_word = _distinct(word_owner, hashed, n)
+    together = word_owner[1:] == word_owner[:-1]
+    pairs, _ = _distinct(word_owner[1:][together], mix(hashed[:-1] * np.uint64(0xD6E8FEB86659FD93) + hashed[1:])[together], n)
+    longest = np.zeros(n)
+    np.maximum.at(longest, word_owner, long)
+    letters = letterlike & ((low_kind & _BIT["decimal"]) == 0)
+    low_owner = np.repeat(np.arange(n), np.diff(low_edge))
+    vowels = _sum(low_owner[letters & ((low_kind & _BIT["vowel"]) != 0)], n)
+
+    # characters
+    plain = codes < 256
+    cell = np.bincount(owner[plain] * 256 + codes[plain].astype(np.int64), minlength=n * 256).reshape(n, 256)
+    share = cell / size[:, None]
+    entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
+    key = np.sort((owner[~plain].astype(np.uint64) << np.uint64(21)) | codes[~plain])
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+    count = np.diff(np.append(first, len(key)))
+    whose = (key[first] >> np.uint64(21)).astype(np.int64)
+    share = count / size[whose]
+    entropy -= _sum(whose, n, share * np.log2(np.where(share > 0, share, 1)))
+    changes = np.concatenate(([0], np.flatnonzero((codes[1:] != codes[:-1]) | cut[1:-1]) + 1, [len(codes)]))
+    same = np.diff(changes)
+    long_run = same >= 5
+    run_begin, run_size = changes[:-1][long_run], same[long_run]
+    after = nxt != 10
+    is_code = lambda c: codes == ord(c)
+    damaged = is_code("\ufffd") | (is_code("Ã") & after) | (is_code("â") & (nxt == ord("€"))) | (is_code("Â") & (next_space | (nxt == ord("°"))) & ~cut[1:]) | (codes <= 8) | ((codes >= 14) & (codes <= 31))
+    gap_begin, gap_end = _runs(space, cut)
+    tabs = np.concatenate(([0], np.cumsum(codes == 9)))
+    not_tab = np.flatnonzero(np.append(codes != 9, True))
+    lead = np.minimum(not_tab[np.searchsorted(not_tab, gap_begin)], gap_end) - gap_begin  # tabs that a gap begins with
+    gaps = lead + (gap_end - gap_begin - lead >= 2)
+    cells = _sum(owner[gap_begin], n, gaps) + _sum(owner[np.isin(codes, [ord(c) for c in _CELLS]) | (is_code(",") & ~next_space)], n)
+    sentences = _sum(owner[is_("stop") & (codes != ord("…")) & (np.isin(codes, [ord(c) for c in _WIDE_STOP]) | next_space)], n)
+    tags = _tag_sizes(codes, nxt, owner, n)
+
+    # lines that are not blank, from their first to their last solid character
+    breaks = np.concatenate(([0], np.cumsum(is_("line"))))[:-1]
+    at = np.flatnonzero(~space)
+    line_of = breaks[at] + owner[at] * (len(codes) + 1)
+    new = np.flatnonzero(np.concatenate(([True], line_of[1:] != line_of[:-1]))) if len(at) else np.empty(0, np.int64)
+    head = at[new]
+    tail = at[np.append(new[1:], len(at)) - 1] + 1 if len(at) else head
+    line_owner, line_size = owner[head], (tail - head).astype(np.float64)
+    m, lines = len(head), _sum(line_owner, n)
+    at_most = np.maximum(lines, 1)
+    total = lambda mask: np.concatenate(([0], np.cumsum(mask)))
+    within = lambda sums: sums[tail] - sums[head]
+    broad, broad_kana, harm = within(total(wide)), within(total(kana)), within(total(damaged))
+    runs_in = np.searchsorted(run_begin, tail) - np.searchsorted(run_begin, head)
+    # words of each line; where lower-casing changed lengths, lines are found in the lower-cased text by their place from the text's end
+    place = begin if low is codes or len(low) == len(codes) else np.maximum(edge[word_owner], begin - low_edge[word_owner] + edge[word_owner])
+    word_line = np.clip(np.searchsorted(head, place, "right") - 1, 0, max(m - 1, 0)) if m else np.empty(0, np.int64)
+    absent = _absent(low, begin, long)  # n/a is one figure, not two words
+    counted = ~np.concatenate(([False], absent[:-1])) if len(absent) else absent
+    line_words = _sum(word_line[counted], m)
+    line_common = _sum(word_line[is_common & (long > 1) & counted], m)
+    line_figures = _sum(word_line[(is_figure | absent) & counted], m)
+    good = np.where(broad > 0.4 * line_size, (broad >= 12) & (broad_kana >= 0.25 * broad) & (runs_in == 0), (line_words >= 6) & (line_common >= 0.15 * line_words) & (line_figures < 0.3 * line_words) & (20 * harm <= line_size))
+    few, begins = line_words <= 6, _bullets(codes, space, head, tail)
+    last = kind[tail - 1] if m else kind[:0]
+    sized = np.maximum(_sum(line_owner, n, line_size), 1)
+    different, _ = _distinct(line_owner, _range_hashes(codes, head, tail), n)
+
+    by_line = lambda mask: _sum(line_owner[mask], n)
+    wide_n, kana_n = _sum(owner[wide], n), _sum(owner[kana], n)
+    columns = (
+        words, _sum(word_owner, n, long) / at_least, _sum(owner[~is_("word") & ~space], n) / size, by_line((last & _BIT["end"]) != 0) / at_most, hits / at_least,
+        np.log1p(lengths), _sum(owner[is_("digit")], n) / size, _sum(word_owner[is_figure], n) / at_least, _sum(owner[is_("upper")], n) / size, _sum(owner[damaged], n) / size, np.where(wide_n > 0.2 * solid, kana_n / np.maximum(wide_n, 1), 0.0),
+        kinds_of_words / at_least, np.where(words > 0, top_word / at_least, 1.0),
+        entropy, _sum(owner[run_begin], n, run_size) / size, longest, words / at_most, by_line(few) / at_most, by_line(begins) / at_most, cells / at_least, tags / size,
+        by_line((last & _BIT["stop"]) != 0) / at_most, 1 - different / at_most, _sum(line_owner, n, line_size * good) / sized, _sum(line_owner, n, line_size * (~good & (begins | few))) / sized, (words + 1) / (hits + 1), vowels / np.maximum(_sum(low_owner[letters], n), 1), words / np.maximum(sentences, 1), pairs / np.maximum(words - 1, 1), 1 - solid / size,
+    )
+    out = np.stack(columns, axis=1)
+    out[solid == 0] = 0.0
+    return out
+
+
+def _absent(low: np.ndarray, begin: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Which words are the n of "n/a"."""
+    absent = np.zeros(len(begin), bool)
+    if len(begin) > 1:
+        one = (long[:-1] == 1) & (long[1:] == 1) & (begin[1:] == begin[:-1] + 2)
+        i = np.flatnonzero(one)
+        absent[i[(low[begin[i]] == ord("n")) & (low[begin[i] + 1] == ord("/")) & (low[begin[i + 1]] == ord("a"))]] = True
+    return absent
+
+
+def _tag_sizes(codes: np.ndarray, nxt: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Characters in markup tags: a bracket, perhaps a slash, a Latin letter, at most 80 more characters without brackets, a bracket."""
+    angle = np.flatnonzero((codes == ord("<")) | (codes == ord(">")))
+    if len(angle) < 2:
+        return np.zeros(n)
+    a, b = angle[:-1], angle[1:]
+    ok = (codes[a] == ord("<")) & (codes[b] == ord(">")) & (owner[a] == owner[b])
+    a, b = a[ok], b[ok]
+    slash = (nxt[a] == ord("/")).astype(np.int64)
+    at = np.minimum(a + 1 + slash, len(codes) - 1)
+    letter = codes[at] | 32
+    ok = (at < b) & (letter >= ord("a")) & (letter <= ord("z")) & (b - at - 1 <= 80)
+    return _sum(owner[a[ok]], n, (b - a + 1)[ok])
+
+
+def _bullets(codes: np.ndarray, space: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Which lines begin with a bullet, a number of up to four digits or a letter with a mark, and a blank behind it."""
+    if not len(head):
+        return np.zeros(0, bool)
+    inside = lambda at: at < tail
+    get = lambda at: np.where(inside(at), codes[np.minimum(at, len(codes) - 1)], 0)
+    blank = lambda at: inside(at) & space[np.minimum(at, len(codes) - 1)]
+    c = get(head)
+    mark = np.isin(c, [ord(x) for x in _BULLETS]) & blank(head + 1)
+    letter = (c >= ord("a")) & (c <= ord("z")) & np.isin(get(head + 1), [ord("."), ord(")")]) & blank(head + 2)
+    at = head + (c == ord("("))
+    digits, going = np.zeros(len(head), np.int64), np.ones(len(head), bool)
+    for k in range(5):
+        d = get(at + k)
+        going &= (d >= ord("0")) & (d <= ord("9"))
+        digits += going
+    behind = at + digits
+    behind = behind + np.isin(get(behind), [ord(x) for x in ".):"])
+    return mark | letter | ((digits >= 1) & (digits <= 4) & blank(behind))
+
+
+#: Characters that one numpy pass takes at most, but for a longer single text.
+_CHARACTERS_AT_ONCE = 1 << 19
+
+
+def _slices(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of bounded length in all; a row above the bound is a range of its own."""
+    begin = held = 0
+    for k, size in enumerate(lengths.tolist()):
+        if k > begin and held + size > _CHARACTERS_AT_ONCE:
+            yield begin, k
+            begin, held = k, 0
+        held += size
+    if begin < len(lengths):
+        yield begin, len(lengths)
+
+
+def _list_batch(keys: pa.Array, x: np.ndarray, key: str) -> pa.RecordBatch:
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
+    return pa.RecordBatch.from_arrays([keys, pa.array(~x.any(axis=1)), flat], [key, "blank", "x"])
 
 
 def document_statistics(df: DataFrame, key: str, text: str, common_words: DataFrame) -> DataFrame:
@@ -121,15 +308,14 @@ def document_statistics(df: DataFrame, key: str, text: str, common_words: DataFr
 
     ``common_words`` is a fixed table of a few hundred words; nulls in it are left out.
     """
-    common = _common(common_words)
-    shared = df.sparkSession.sparkContext.broadcast(common)
+    shared = df.sparkSession.sparkContext.broadcast(common_hashes(_common(common_words)))
     source = df.select(key, F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            rows = [statistics(t, shared.value) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([not t or not t.strip() for t in texts], pa.bool_()), pa.array(rows, _ARROW_FEATURES)], [key, "blank", "x"])
+            for begin, end in _slices(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)):
+                part = batch.slice(begin, end - begin)
+                yield _list_batch(part.column(0), statistics(part.column(1).to_pylist(), shared.value), key)
 
     return source.mapInArrow(run, T.StructType([source.schema[key], T.StructField("blank", T.BooleanType()), T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
@@ -251,9 +437,10 @@ def mixtures(prose: list[str], junk: list[str], common: frozenset[str], number:
         size = min(len(p) / (1 - share), len(q) / share)
         a, b = p[: max(1, int(size * (1 - share)))], q[: max(1, int(size * share))]
         parts = [a, b] if rng.random() < 0.7 else [b, a]
-        rows.append(statistics("\n".join(parts), common))
+        rows.append("\n".join(parts))
         labels.append(float(share > 0.5))
-    return np.array(rows), np.array(labels)
+    hashes, ends = common_hashes(common), [*range(0, number, 64), number]  # few at once: texts may be long
+    return np.concatenate([statistics(rows[a:b], hashes) for a, b in zip(ends, ends[1:])]), np.array(labels)
 
 
 @dataclass
@@ -268,9 +455,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.trees.score(x) + self.offset, -30, 30)))
 
 
-def _features(df: DataFrame) -> np.ndarray:
-    rows = df.toArrow()["x"].combine_chunks()
-    return np.array(rows.to_pylist(), np.float64).reshape(-1, len(FEATURES))
+def _features(table: pa.Table) -> np.ndarray:
+    return table["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
 
 
 def fit(documents: DataFrame, key: str, text: str, stats: DataFrame, common_words: DataFrame, labels: DataFrame, kind: str = "kind", prose: str = "prose") -> Model:
@@ -283,7 +469,7 @@ def fit(documents: DataFrame, key: str, text: str, stats: DataFrame, common_word
     order = F.xxhash64(key, F.lit(11))
     free = stats.filter("not blank").join(checked, key, "left_anti").orderBy(order, key).limit(WEAK_SAMPLE).select(key, "x")
     drawn = free.toArrow()
-    x = np.array(drawn["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
+    x = _features(drawn)
     weak = weak_label(x)
     keys = np.array(drawn[key].to_pylist())
     seldom = keys[weak >= 0][:MIXED_SAMPLE]
@@ -293,7 +479,7 @@ def fit(documents: DataFrame, key: str, text: str, stats: DataFrame, common_word
     sure = weak >= 0
     xs, ys = np.concatenate((x[sure], mixed)), np.concatenate((weak[sure], label)).astype(float)
     holdout = stats.filter("not blank").join(checked, key).orderBy(order, key).limit(HOLDOUT_SAMPLE).select("x", "kind").toArrow()
-    hx = np.array(holdout["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
+    hx = _features(holdout)
     hy = np.array([float(k != prose) for k in holdout["kind"].to_pylist()])
     if len(set(ys.tolist())) < 2:  # too little text to learn from: the rules' main statistic alone
         xs, ys = np.concatenate((xs, np.zeros((2, len(FEATURES))))), np.concatenate((ys, [0.0, 1.0]))
@@ -301,10 +487,12 @@ def fit(documents: DataFrame, key: str, text: str, stats: DataFrame, common_word
     weight = np.where(ys == 1, len(ys) / max(1, 2 * ys.sum()), len(ys) / max(1, 2 * (1 - ys).sum()))
     trees = boost(xs, ys, weight)
     slope, offset = calibrate(trees.score(hx), hy) if len(hy) else (1.0, 0.0)
-    model = Model(trees, slope, offset, {})
-    right = (model.probability(hx) >= 0.5) == (hy == 1) if len(hy) else np.empty(0)
-    model.report = {"weak": float(sure.sum()), "mixed": float(len(label)), "holdout": float(len(hy)), "holdout_accuracy": float(right.mean()) if len(hy) else 0.0}
-    return model
+    # accuracy on labels that neither the trees nor the curve saw: each half is judged by the curve of the other
+    score, half, right = trees.score(hx) if len(hy) else np.empty(0), np.arange(len(hy)) % 2, 0
+    for k in (0, 1) if len(hy) > 1 else ():
+        a, b = calibrate(score[half != k], hy[half != k])
+        right += int(((a * score[half == k] + b >= 0) == (hy[half == k] == 1)).sum())
+    return Model(trees, slope, offset, {"weak": float(sure.sum()), "mixed": float(len(label)), "holdout": float(len(hy)), "held_out_accuracy": right / max(1, len(hy))})
 
 
 def predict(stats: DataFrame, key: str, model: Model) -> DataFrame:

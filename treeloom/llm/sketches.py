@@ -26,8 +26,8 @@ _PER_OCTAVE = 10
 
 
 def count_bits(total: int) -> int:
-    """Cells for so many counted occurrences: at least one each, as far as the bound goes."""
-    return min(MOST_COUNT_BITS, max(12, int(total).bit_length()))
+    """Cells for so many counted occurrences: two to four of them share one, as far as the bound goes."""
+    return min(MOST_COUNT_BITS, max(12, int(total).bit_length() - 2))
 
 
 def filter_bits(number: int) -> int | None:
