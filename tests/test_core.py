@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from treeloom.functions import shingles, sketches, text, vectors
+from treeloom.functions import shingles, text, vectors
 from treeloom.operators import checks, kmeans, metrics, pooling, records, reduction
 from treeloom.operators.delivery import first_delivery
 from treeloom.sources import readers, sinks
@@ -180,18 +180,6 @@ def test_shingles_against_regular_expressions(monkeypatch):
     shingles._powers.clear()
 
 
-def test_sketches(spark):
-    rng = np.random.default_rng(1)
-    values = rng.integers(0, 2**63, 1000)
-    packed = sketches.bits_of_column(spark.createDataFrame([(int(v),) for v in values] + [(None,)], "h bigint"), "h", bits=14)
-    assert sketches.may_contain(packed, shingles.mix(values.view(np.uint64))).all()
-    counter = sketches.Counter(10)
-    counter.add(np.array([5, 5, 5, 9], np.uint64))
-    numbers, datas = sketches.blocks_of(counter.cells)
-    merged = sketches.merge_counts(spark.createDataFrame(list(zip(numbers, map(bytearray, datas))) * 2, "block int, data binary"), 10)
-    assert merged[5] == round(4 * math.log2(7)) and merged[9] == round(4 * math.log2(3)) and merged[0] == 0
-
-
 def test_readers_and_sinks(spark, tmp_path):
     record = {"patent": "P1", "claims": [{"cid": "1", "text": "t", "parent_ids": []}], "cpc": {"section": "A", "class": "A01", "subclass": "A01B"}}
     (tmp_path / "in").mkdir()

@@ -4,7 +4,8 @@ import random
 import pytest
 
 from treeloom.operators.components import components
-from treeloom.operators.hierarchy import cyclic_nodes, peel_edges, peel_nested
+from treeloom.operators.hierarchy import cyclic_nodes, forest_summary, node_depths, peel_edges, peel_nested, peeled_descendants
+from treeloom.session import NotConverged
 
 SCHEMA = "key int, nodes array<struct<id: string, up: array<string>>>, extra int, node string"
 
@@ -83,10 +84,39 @@ def test_random_graphs_against_brute_force(spark):
 
 
 def test_peel_edges_agrees(spark):
-    links = [("b", "a"), ("c", "b"), ("d", "b"), ("a", None), ("x", "y"), ("y", "x"), ("z", "y"), ("r", "x"), ("q", None), ("b", "a")]
-    out = {r["node"]: r for r in peel_edges(spark.createDataFrame(links, "child string, parent string")).collect()}
-    assert out["d"]["path"] == ["a", "b", "d"] and out["a"]["descendants"] == ["b", "c", "d"] and out["q"]["depth"] == 0
+    links = [("b", "a"), ("c", "b"), ("d", "b"), ("a", None), ("x", "y"), ("y", "x"), ("z", "y"), ("r", "x"), ("q", None), ("b", "a"), ("d", "q")]
+    table = spark.createDataFrame(links, "child string, parent string")
+    out = {r["node"]: r for r in peel_edges(table).collect()}
+    assert out["d"]["path"] == ["a", "b", "d"] and out["a"]["n_descendants"] == 3 and out["q"]["depth"] == 0 and out["q"]["height"] == 1
     assert out["x"]["in_cycle_part"] and out["y"]["in_cycle_part"] and out["z"]["depth"] is None and out["z"]["height"] == 0
+    below = {tuple(r) for r in peeled_descendants(table).collect()}
+    assert below == {("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("q", "d")}
+    assert peel_edges(table.limit(0)).count() == 0
+
+
+def test_chain_deeper_than_the_kept_parts(spark):
+    """A caterpillar: every node of a chain has a leaf besides, so that all wait long; messages are merged on the way."""
+    links = [(f"{k:03}", f"{k - 1:03}") for k in range(1, 20)] + [(f"leaf{k}", f"{k:03}") for k in range(20)]
+    out = {r["node"]: r for r in peel_edges(spark.createDataFrame(links, "child string, parent string")).collect()}
+    assert out["000"]["height"] == 20 and out["019"]["depth"] == 19 and out["000"]["n_descendants"] == 39 and not any(r["in_cycle_part"] for r in out.values())
+    assert out["leaf19"]["path"] == [f"{k:03}" for k in range(20)] + ["leaf19"] and out["leaf19"]["root"] == "000"
+
+
+def test_summary_and_depths_of_random_graphs(spark):
+    rng = random.Random(5)
+    rows = [(k, [(str(i), [str(rng.randint(0, n)) for _ in range(rng.randint(0, 2))]) for i in range(n)]) for k, n in enumerate([0, 1, *(rng.randint(1, 12) for _ in range(40))])]
+    df = forest(spark, rows)
+    whole = [r for r in peel_nested(df, "key", "nodes", "id", "up").collect()]
+    assert {(r["key"], r["node"]): r["depth"] for r in node_depths(df, "key", "nodes", "id", "up").collect()} == {(r["key"], r["node"]): r["depth"] for r in whole}
+    for r in forest_summary(df, "nodes", "id", "up").collect():
+        mine = [x for x in whole if x["key"] == r["key"]]
+        want = (len(mine), sum(len(x["parents"]) for x in mine), sum(not x["parents"] for x in mine), max([-1, *(x["depth"] for x in mine if x["depth"] is not None)]), any(x["status"] == "on_cycle" for x in mine))
+        assert (r["n_nodes"], r["n_links"], r["n_roots"], r["max_depth"], r["has_cycle"]) == want and r["node"] == "clash"
+
+
+def test_components_raises_where_it_is_stopped(spark):
+    with pytest.raises(NotConverged):
+        components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a bigint, b bigint"), max_rounds=2)
 
 
 @pytest.mark.parametrize("pairs", [[], [(1, 1)], [(1, 2), (2, 3), (5, 4), (9, 9), (None, 3)], list(itertools.pairwise(range(40)))])

@@ -16,6 +16,7 @@ above one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeloom.session import drop_table, write_table
+from treeloom.session import write_table
 
 #: Nodes with more root-to-node paths than this list none of them: ``ancestor_links`` then holds them exactly.
 LISTED_PATHS = 1000
@@ -76,6 +77,20 @@ class Forests:
             leaves, level = touched[waiting[touched] == 0], level + 1
         self.begin = begin  # links of a child: parent[begin[x]:begin[x + 1]]
 
+    def depths(self) -> np.ndarray:
+        """Longest path from a root to each node, -1 for nodes on or below a cycle: the reverse sweep, a level at a time."""
+        depth, waiting = np.full(self.n, -1, np.int64), np.bincount(self.child, minlength=self.n)
+        order = np.argsort(self.parent, kind="stable")
+        down, begin = self.child[order], np.searchsorted(self.parent[order], np.arange(self.n + 1))
+        ready, level = np.flatnonzero(waiting == 0), 0
+        while len(ready):
+            depth[ready] = level
+            reached = down[ragged(begin[ready], begin[ready + 1])]
+            np.subtract.at(waiting, reached, 1)
+            touched = np.unique(reached)
+            ready, level = touched[waiting[touched] == 0], level + 1
+        return depth
+
     def on_cycle(self) -> np.ndarray:
         """Which nodes reach themselves.  Residual nodes with no residual parent are trimmed first; then strong components."""
         found = np.zeros(self.n, bool)
@@ -207,7 +222,7 @@ def _describe(f: Forests, listed_paths: int) -> dict[str, list]:
         "depth": [depth[x] if released[x] else None for x in range(f.n)],
         "height": [h if h >= 0 else None for h in height.tolist()],
         "roots": [sorted(name[r] for r in roots[x]) if released[x] else None for x in range(f.n)],
-        "n_paths": [min(count[x], 2**63 - 1) if released[x] else None for x in range(f.n)],
+        "n_paths": [Decimal(count[x]) if released[x] and count[x] < 10**38 else None for x in range(f.n)],
         "paths": [paths[x] if released[x] else None for x in range(f.n)],
         "parents": [sorted(name[p] for p in up[x]) for x in range(f.n)],
         "descendants": [sorted(name[d] for d in below[x]) for x in range(f.n)],
@@ -222,7 +237,7 @@ _NODE_FIELDS = [
     T.StructField("depth", T.LongType()),
     T.StructField("height", T.LongType()),
     T.StructField("roots", T.ArrayType(T.StringType())),
-    T.StructField("n_paths", T.LongType()),
+    T.StructField("n_paths", T.DecimalType(38, 0)),
     T.StructField("paths", T.ArrayType(T.ArrayType(T.StringType()))),
     T.StructField("parents", T.ArrayType(T.StringType())),
     T.StructField("descendants", T.ArrayType(T.StringType())),
@@ -230,7 +245,7 @@ _NODE_FIELDS = [
 ]
 _ARROW = {
     "node": pa.string(), "position": pa.int64(), "status": pa.string(), "depth": pa.int64(), "height": pa.int64(), "roots": pa.list_(pa.string()),
-    "n_paths": pa.int64(), "paths": pa.list_(pa.list_(pa.string())), "parents": pa.list_(pa.string()), "descendants": pa.list_(pa.string()), "subtree_size": pa.int64(),
+    "n_paths": pa.decimal128(38, 0), "paths": pa.list_(pa.list_(pa.string())), "parents": pa.list_(pa.string()), "descendants": pa.list_(pa.string()), "subtree_size": pa.int64(),
 }
 _ROWS_AT_ONCE = 2048
 
@@ -248,7 +263,7 @@ def peel_nested(df: DataFrame, key: str, nodes: str, node_id: str, parent_ids: s
       listed twice is one node with the parents of both; parents that name no node are ignored.
     * ``depth`` is the longest path from a root; ``height`` the peel round; ``roots`` and ``descendants`` are sorted.
     * ``paths`` holds every root-to-node path; null above ``listed_paths`` of them, where ``n_paths`` and the
-      ``parents`` of the node and its ancestors still give them exactly (:func:`ancestor_links`).
+      ``parents`` of the node and its ancestors still give them exactly (:func:`ancestor_links`).  ``n_paths`` is exact up to 38 digits, null beyond.
     * ``status``: ``on_cycle`` reaches itself; ``above_cycle`` has a cycle among its descendants; ``below_cycle`` hangs
       below one (depth, roots and paths are null there and on cycles); else ``ok``.
     * null or empty ``nodes``: no rows.  Other columns of ``df`` are left out, so clashing names do no harm.
@@ -266,6 +281,42 @@ def peel_nested(df: DataFrame, key: str, nodes: str, node_id: str, parent_ids: s
     return _narrow(df, key, nodes, node_id, parent_ids).mapInArrow(run, schema)
 
 
+def node_depths(df: DataFrame, key: str, nodes: str, node_id: str, parent_ids: str) -> DataFrame:
+    """(key, node, depth) of :func:`peel_nested` without paths and descendants; null depth on and below cycles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lists, ids, parents = _nested_columns(batch)
+            f = Forests(lists, ids, parents)
+            depth = f.depths()
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(f.row)), f.names.take(pa.array(f.code)), pa.array(depth, mask=depth < 0)], [key, "node", "depth"])
+
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("node", T.StringType()), T.StructField("depth", T.LongType())])
+    return _narrow(df, key, nodes, node_id, parent_ids).mapInArrow(run, schema)
+
+
+def forest_summary(df: DataFrame, nodes: str, node_id: str, parent_ids: str) -> DataFrame:
+    """Every row of ``df`` but for ``nodes``, with n_nodes, n_links, n_roots, max_depth (-1 without nodes that have one) and has_cycle of its forest; no shuffle."""
+    kept = [c for c in df.columns if c != nodes]
+    added = ("n_nodes", "n_links", "n_roots", "max_depth")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, at = batch.num_rows, len(kept)
+            ids, parents = batch.column(at), batch.column(at + 1)
+            f = Forests(ids, pc.list_flatten(ids), pc.list_flatten(parents))
+            depth, cyclic, most = f.depths(), np.zeros(n, bool), np.full(n, -1, np.int64)
+            np.maximum.at(most, f.row, depth)
+            cyclic[f.row[f.on_cycle()]] = True
+            root = np.bincount(f.child, minlength=f.n) == 0
+            numbers = (np.bincount(f.row, minlength=n), np.bincount(f.row[f.child], minlength=n), np.bincount(f.row[root], minlength=n), most)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *(pa.array(x.astype(np.int64)) for x in numbers), pa.array(cyclic)], [*kept, *added, "has_cycle"])
+
+    source = df.select(*kept, df[nodes].getField(node_id).alias("_ids"), df[nodes].getField(parent_ids).alias("_parents"))
+    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, T.LongType()) for c in added), T.StructField("has_cycle", T.BooleanType())])
+    return source.mapInArrow(run, schema)
+
+
 def cyclic_nodes(df: DataFrame, key: str, nodes: str, node_id: str, parent_ids: str) -> DataFrame:
     """(key, node) of every node that reaches itself: the residual part of :func:`peel_nested` only, distinct."""
 
@@ -291,64 +342,92 @@ def ancestor_links(described: DataFrame, key: str) -> DataFrame:
     return described.select(key, "node", F.explode("parents").alias("parent"))
 
 
-def peel_edges(links: DataFrame, child: str = "child", parent: str = "parent", max_rounds: int = 10_000) -> DataFrame:
-    """Distributed leaf peeling of a table of links: node, height, depth, root, path, n_descendants, descendants, in_cycle_part.
+#: Tables of messages that a loop keeps before it merges them.
+_MOST_PARTS = 12
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    told = parts[0]
+    for part in parts[1:]:
+        told = told.unionByName(part)
+    return told
+
+
+def peel_edges(links: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """Distributed leaf peeling of a table of links: node, height, depth, root, path, n_descendants, in_cycle_part.
 
     For forests that don't fit into one row.  A null parent marks a root; parents need no row of their own; repeated
-    links count once.  Every node's parents must be at most one outside cycles for ``path`` and ``root`` to be single;
-    with several, the path along the smallest parent among the deepest is given.  Nodes that are never peeled, and those
-    below them, come out with ``in_cycle_part`` or null depth.  One round per level of height: each joins only the
-    current leaves with their links, so a round's cost follows its leaves.  Columns are cast to string.  An empty
-    table gives an empty result.
+    links count once.  A node with several parents has the depth of the longest path and, of those, the path through the smallest parent.
+    Nodes that are never peeled lie on a cycle or above one (``in_cycle_part``; height and n_descendants are null), nodes on or below one have no
+    depth, root and path.  Columns are cast to string.  An empty table gives an empty result.  :func:`peeled_descendants` gives the
+    descendants themselves, a row each, so that no node gathers a list.
+
+    One round per level of height, and one per level of depth.  A round writes the messages of its leaves and the nodes that
+    become leaves by them, and nothing of those that go on waiting; messages to nodes still waiting are merged now and then.
+    Rounds end by themselves: each takes at least one node, so there is no limit to the depth.
     """
-    spark = links.sparkSession
+    return _peel(links, child, parent)[0]
+
+
+def peeled_descendants(links: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(node, descendant) of every node that leaf peeling takes, distinct."""
+    return _peel(links, child, parent)[1]
+
+
+def _peel(links: DataFrame, child: str, parent: str) -> tuple[DataFrame, DataFrame]:
     edges = links.select(links[child].cast("string").alias("c"), links[parent].cast("string").alias("p")).filter("c is not null").distinct()
-    nodes = edges.select(F.col("c").alias("v")).union(edges.filter("p is not null").select(F.col("p").alias("v"))).distinct()
-    edges, edges_path = write_table(edges.filter("p is not null"), "edges")
-    paths = [edges_path]
-    waiting = nodes.join(edges.groupBy(F.col("p").alias("v")).agg(F.count("*").alias("n")), "v", "left").select("v", F.coalesce("n", F.lit(0)).alias("n"), F.array().cast("array<string>").alias("d"))
-    waiting, path = write_table(waiting, "waiting")
-    peeled: list[DataFrame] = []
+    nodes, _ = write_table(edges.select(F.col("c").alias("v")).union(edges.filter("p is not null").select(F.col("p").alias("v"))).distinct(), "nodes")
+    edges, _ = write_table(edges.filter("p is not null"), "edges")
+    children = edges.groupBy(F.col("p").alias("v")).agg(F.count("*").alias("n"))
+    pair = "v string, d string"
+    leaves, _ = write_table(nodes.join(children, "v", "left_anti"), "leaves")
+    below = nodes.sparkSession.createDataFrame([], pair)
+    sent: list[DataFrame] = []  # (v, d): descendants that peeled children told v; the child itself has told = 1
+    peeled, descendants = [], [below]
     level = 0
-    while level < max_rounds:
-        leaves = waiting.filter("n = 0").select("v", F.lit(level).alias("height"), F.array_sort(F.array_distinct("d")).alias("d"))
-        leaves, leaf_path = write_table(leaves, "leaves")
-        paths.append(leaf_path)
-        if leaves.isEmpty():
-            break
-        peeled.append(leaves)
-        sent = leaves.join(edges, leaves.v == edges.c).select(F.col("p").alias("v"), F.array_union("d", F.array("c")).alias("d"))
-        got = sent.groupBy("v").agg(F.count("*").alias("k"), F.array_distinct(F.flatten(F.collect_list("d"))).alias("more"))
-        rest = waiting.filter("n > 0").join(got, "v", "left").select("v", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n"), F.when(F.col("more").isNull(), F.col("d")).otherwise(F.array_union("d", "more")).alias("d"))
-        before, (waiting, path) = path, write_table(rest, "waiting")
-        drop_table(spark, before)
+    while not leaves.isEmpty():
+        peeled.append(leaves.select("v", F.lit(level).alias("height")))
+        up = edges.join(leaves, edges.c == leaves.v).select("p", "c")
+        message = up.select(F.col("p").alias("v"), F.col("c").alias("d"), F.lit(1).alias("told")).union(up.join(below, up.c == below.v).select(F.col("p").alias("v"), "d", F.lit(0).alias("told")))
+        message, _ = write_table(message, "message")
+        sent.append(message)
+        heard = _all(sent).join(message.select("v").distinct(), "v", "left_semi")
+        ready = heard.groupBy("v").agg(F.sum("told").alias("k")).join(children, "v").filter("k = n").select("v")
+        leaves, _ = write_table(ready, "leaves")
+        below, _ = write_table(heard.join(leaves, "v", "left_semi").select("v", "d").distinct(), "below")
+        descendants.append(below)
         level += 1
-    residual = waiting.select(F.col("v"), F.lit(None).cast("int").alias("height"), F.array().cast("array<string>").alias("d"))
-    done = residual
-    for part in peeled:
-        done = done.unionByName(part)
-    done, done_path = write_table(done, "peeled")
-    # reverse peel order: highest first, each level reads the paths of its parents
-    known = nodes.join(edges, nodes.v == edges.c, "left_anti").select("v", F.lit(0).alias("depth"), F.col("v").alias("root"), F.array("v").alias("path"))
-    known, path = write_table(known, "known")
-    waiting_up = edges.groupBy(F.col("c").alias("v")).agg(F.count("*").alias("n"))
-    frontier = known
-    parts, got_all = [known], None
-    for _ in range(max_rounds):
-        step = frontier.join(edges, frontier.v == edges.p).select(F.col("c").alias("v"), (F.col("depth") + 1).alias("depth"), "root", F.array_append("path", F.col("c")).alias("path"))
-        step, step_path = write_table(step, "step")
-        paths.append(step_path)
-        if step.isEmpty():
-            break
-        got_all = step if got_all is None else got_all.unionByName(step)
-        best = got_all.groupBy("v").agg(F.count("*").alias("k"), F.max("depth").alias("depth"), F.min_by(F.struct("root", "path"), F.struct((-F.col("depth")).alias("a"), F.element_at("path", -2).alias("b"))).alias("x"))
-        ready = best.join(waiting_up, "v").filter("k = n").join(step.select("v").distinct(), "v", "left_semi").select("v", "depth", "x.root", "x.path")
-        frontier, ready_path = write_table(ready, "ready")
-        paths.append(ready_path)
-        parts.append(frontier)
-    told = parts[0]
-    for part in parts[1:]:
-        told = told.unionByName(part)
-    return done.join(told, "v", "left").select(
-        F.col("v").alias("node"), "height", "depth", "root", "path", F.when(F.col("height").isNotNull(), F.size("d")).alias("n_descendants"), F.when(F.col("height").isNotNull(), F.col("d")).alias("descendants"), F.col("height").isNull().alias("in_cycle_part")
+        if len(sent) > _MOST_PARTS:
+            done = _all([p.select("v") for p in peeled]).union(leaves)
+            sent = [write_table(_all(sent).join(done, "v", "left_anti"), "message")[0]]
+            peeled = [write_table(_all(peeled), "peeled")[0]]
+            descendants = [write_table(_all(descendants), "below")[0]]
+    below = _all(descendants)
+    down = _all(peeled) if peeled else nodes.select("v", F.lit(0).alias("height")).limit(0)
+    told = nodes.join(down, "v", "left").join(below.groupBy("v").agg(F.count("*").alias("n")), "v", "left")
+    up = _top_down(nodes, edges)
+    out = told.join(up, "v", "left").select(
+        F.col("v").alias("node"), "height", "depth", "root", "path", F.when(F.col("height").isNotNull(), F.coalesce("n", F.lit(0))).alias("n_descendants"), F.col("height").isNull().alias("in_cycle_part")
     )
+    return out, below.select(F.col("v").alias("node"), F.col("d").alias("descendant"))
+
+
+def _top_down(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(v, depth, root, path): each level reads the paths of its parents; a node waits until all its parents have one."""
+    parents = edges.groupBy(F.col("c").alias("v")).agg(F.count("*").alias("n"))
+    known = nodes.join(parents, "v", "left_anti").select("v", F.lit(0).alias("depth"), F.col("v").alias("root"), F.array("v").alias("path"))
+    known, _ = write_table(known, "known")
+    parts, sent = [known], []
+    while not known.isEmpty():
+        step = known.join(edges, known.v == edges.p).select(F.col("c").alias("v"), F.struct((-F.col("depth") - 1).alias("depth"), "p", "root", "path").alias("x"))
+        step, _ = write_table(step.groupBy("v").agg(F.count("*").alias("k"), F.min("x").alias("x")), "step")
+        sent.append(step)
+        heard = _all(sent).join(step.select("v"), "v", "left_semi").groupBy("v").agg(F.sum("k").alias("k"), F.min("x").alias("x"))
+        ready = heard.join(parents, "v").filter("k = n").select("v", (-F.col("x.depth")).alias("depth"), "x.root", F.array_append("x.path", F.col("v")).alias("path"))
+        known, _ = write_table(ready, "known")
+        parts.append(known)
+        if len(sent) > _MOST_PARTS:
+            done = _all([p.select("v") for p in parts])
+            sent = [write_table(_all(sent).join(done, "v", "left_anti").groupBy("v").agg(F.sum("k").alias("k"), F.min("x").alias("x")), "step")[0]]
+            parts = [write_table(_all(parts), "known")[0]]
+    return _all(parts)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from treeloom.functions.text import clean_parents, code_levels, label, split_name, strip
 from treeloom.operators.delivery import first_delivery
-from treeloom.operators.hierarchy import peel_nested
+from treeloom.operators.hierarchy import forest_summary, node_depths
 
 
 class RecordError(ValueError):
@@ -69,19 +69,17 @@ def graph_validation(records: DataFrame, key: str = "record_id", remove_invalid:
         F.filter("claims", lambda c: c.claim_id.isNotNull()),
         lambda c: F.struct(c.claim_id.alias("claim_id"), F.filter(F.array_intersect(c.parent_ids, ids), lambda p: p != c.claim_id).alias("parents"), F.size(F.array_except(c.parent_ids, ids)).alias("unknown"), F.array_contains(c.parent_ids, c.claim_id).cast("int").alias("itself")),
     )
-    base = records.select(key, items.alias("items"))
-    nodes = peel_nested(base, key, "items", "claim_id", "parents", listed_paths=0)
-    told = nodes.groupBy(key).agg(F.count("*").alias("n_claims"), F.sum(F.size("parents")).alias("n_edges"), F.sum((F.size("parents") == 0).cast("bigint")).alias("n_roots"), F.max("depth").alias("max_depth"), F.max((F.col("status") == "on_cycle").cast("int")).alias("cyclic"))
-    number = base.select(key, F.aggregate("items", F.lit(0), lambda s, x: s + x.unknown).cast("bigint").alias("n_invalid"), F.aggregate("items", F.lit(0), lambda s, x: s + x.itself).cast("bigint").alias("n_self"))
-    out = number.join(told, key, "left").withColumn("has_cycle", F.coalesce(F.col("cyclic"), F.lit(0)) > 0)
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    valid = (F.col("n_self") == 0) & (F.lit(remove_invalid) | (F.col("n_invalid") == 0)) & (F.lit(not require_acyclic) | ~F.col("has_cycle")) & (F.coalesce("n_roots", F.lit(0)) > 0)
-    return out.select(key, zero("n_claims"), zero("n_edges"), zero("n_roots"), F.when(F.col("has_cycle"), F.lit(0)).otherwise(F.coalesce("max_depth", F.lit(0))).cast("bigint").alias("max_depth"), "n_invalid", "n_self", "has_cycle", valid.alias("is_valid"))
+    total = lambda name: F.aggregate("items", F.lit(0), lambda s, x: s + x[name]).cast("bigint")
+    base = records.select(key, items.alias("items")).select(key, "items", total("unknown").alias("n_invalid"), total("itself").alias("n_self"))
+    out = forest_summary(base, "items", "claim_id", "parents")
+    valid = (F.col("n_self") == 0) & (F.lit(remove_invalid) | (F.col("n_invalid") == 0)) & (F.lit(not require_acyclic) | ~F.col("has_cycle")) & (F.col("n_roots") > 0)
+    depth = F.when(F.col("has_cycle"), F.lit(0)).otherwise(F.greatest("max_depth", F.lit(0))).cast("bigint").alias("max_depth")
+    return out.select(key, F.col("n_nodes").alias("n_claims"), F.col("n_links").alias("n_edges"), "n_roots", depth, "n_invalid", "n_self", "has_cycle", valid.alias("is_valid"))
 
 
 def claim_depths(records: DataFrame, key: str = "record_id") -> DataFrame:
     """(key, claim_id, depth, is_root): longest-path depth of every claim that neither lies on nor below a cycle."""
-    nodes = peel_nested(records, key, "claims", "claim_id", "parent_ids", listed_paths=0)
+    nodes = node_depths(records, key, "claims", "claim_id", "parent_ids")
     return nodes.filter("depth is not null").select(key, F.col("node").alias("claim_id"), "depth", (F.col("depth") == 0).alias("is_root"))
 
 
@@ -98,9 +96,11 @@ def shuffled_depths(depths: DataFrame, key: str = "record_id", seed: int = 42) -
 
 def dataset_summary(records: DataFrame, key: str = "record_id") -> DataFrame:
     """One row: records, claims, edges as given, roots, greatest depth, distinct labels of each level."""
-    one = records.agg(F.count("*").alias("n_records"), F.coalesce(F.sum(F.size("claims")), F.lit(0)).cast("bigint").alias("n_claims"), F.coalesce(F.sum(F.aggregate("claims", F.lit(0), lambda s, c: s + F.size(c.parent_ids))), F.lit(0)).cast("bigint").alias("n_edges"), F.countDistinct("section").alias("n_sections"), F.countDistinct("class").alias("n_classes"), F.countDistinct("subclass").alias("n_subclasses"))
-    deep = claim_depths(records, key).agg(F.count_if(F.col("depth") == 0).alias("n_roots"), F.coalesce(F.max("depth"), F.lit(0)).cast("bigint").alias("max_depth"))
-    return one.crossJoin(deep)  # one row and one row
+    given = F.aggregate("claims", F.lit(0), lambda s, c: s + F.size(c.parent_ids)).cast("bigint")
+    told = forest_summary(records.select("section", "class", "subclass", "claims", F.size("claims").cast("bigint").alias("n_given"), given.alias("n_edges")), "claims", "claim_id", "parent_ids")
+    most = lambda c: F.coalesce(F.greatest(F.max(c), F.lit(0)), F.lit(0)).cast("bigint")
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return told.agg(F.count("*").alias("n_records"), whole("n_given").alias("n_claims"), whole("n_edges").alias("n_edges"), F.countDistinct("section").alias("n_sections"), F.countDistinct("class").alias("n_classes"), F.countDistinct("subclass").alias("n_subclasses"), whole("n_roots").alias("n_roots"), most("max_depth").alias("max_depth"))
 
 
 def claim_count_distribution(records: DataFrame) -> DataFrame:
