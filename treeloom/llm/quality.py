@@ -39,7 +39,7 @@ PUBLIC = FEATURES[:5]
 
 # -- code points
 
-_FLAGS = ("word", "digit", "decimal", "space", "upper", "kana", "wide", "line", "end", "stop", "vowel")
+_FLAGS = ("word", "digit", "decimal", "space", "upper", "kana", "wide", "line", "end", "stop", "vowel", "wide_stop", "cell")
 _BIT = {name: np.uint16(1 << k) for k, name in enumerate(_FLAGS)}
 _KNOWN = np.uint16(1 << 15)
 _kinds = np.zeros(0x110000, np.uint16)
@@ -48,7 +48,7 @@ _kinds = np.zeros(0x110000, np.uint16)
 def _flags_of(code: int) -> int:
     c = chr(code)
     inside = lambda ranges: any(a <= code <= b for a, b in ranges)
-    facts = (c.isalnum(), c.isdigit(), c.isdecimal(), c.isspace(), c.isupper(), inside(_KANA), inside(_WIDE), len(f"a{c}b".splitlines()) > 1, c in _END, c in _STOP, c in _VOWELS)
+    facts = (c.isalnum(), c.isdigit(), c.isdecimal(), c.isspace(), c.isupper(), inside(_KANA), inside(_WIDE), len(f"a{c}b".splitlines()) > 1, c in _END, c in _STOP, c in _VOWELS, c in _WIDE_STOP, c in _CELLS)
     return sum(1 << k for k, x in enumerate(facts) if x)
 
 
@@ -67,6 +67,15 @@ def _sum(owner: np.ndarray, number: int, weight: np.ndarray | None = None) -> np
     return np.bincount(owner, weight, number).astype(np.float64)
 
 
+def _most(owner: np.ndarray, value: np.ndarray, number: int) -> np.ndarray:
+    """The largest value of each owner, 0 without any; owners come in order."""
+    out = np.zeros(number)
+    if len(owner):
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        out[owner[first]] = np.maximum.reduceat(value, first)
+    return out
+
+
 def _runs(inside: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of each run of true values; a run also ends before a cut."""
     begin, end = inside.copy(), inside.copy()
@@ -104,9 +113,7 @@ def _distinct(owner: np.ndarray, values: np.ndarray, number: int) -> tuple[np.nd
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     count = np.diff(np.append(first, len(key)))
     whose = (key[first] >> np.uint64(40)).astype(np.int64)
-    most = np.zeros(number)
-    np.maximum.at(most, whose, count)
-    return _sum(whose, number), most
+    return _sum(whose, number), _most(whose, count, number)
 
 
 def statistics(texts: list[str | None], common: np.ndarray) -> np.ndarray:
@@ -150,7 +157,8 @@ def statistics(texts: list[str | None], common: np.ndarray) -> np.ndarray:
     letterlike = (low_kind & _BIT["word"]) != 0
     begin, end = _runs(letterlike, low_cut)
     long = end - begin
-    word_owner = np.searchsorted(low_edge, begin, "right") - 1
+    low_owner = owner if len(low) == len(codes) else np.repeat(np.arange(n), np.diff(low_edge))
+    word_owner = low_owner[begin]
     hashed = _range_hashes(low, begin, end)
     words = _sum(word_owner, n)
     at_least = np.maximum(words, 1)
@@ -161,10 +169,8 @@ def statistics(texts: list[str | None], common: np.ndarray) -> np.ndarray:
     kinds_of_words, top_word = _distinct(word_owner, hashed, n)
     together = word_owner[1:] == word_owner[:-1]
     pairs, _ = _distinct(word_owner[1:][together], mix(hashed[:-1] * np.uint64(0xD6E8FEB86659FD93) + hashed[1:])[together], n)
-    longest = np.zeros(n)
-    np.maximum.at(longest, word_owner, long)
+    longest = _most(word_owner, long, n)
     letters = letterlike & ((low_kind & _BIT["decimal"]) == 0)
-    low_owner = np.repeat(np.arange(n), np.diff(low_edge))
     vowels = _sum(low_owner[letters & ((low_kind & _BIT["vowel"]) != 0)], n)
 
     # characters
@@ -190,8 +196,8 @@ def statistics(texts: list[str | None], common: np.ndarray) -> np.ndarray:
     not_tab = np.flatnonzero(np.append(codes != 9, True))
     lead = np.minimum(not_tab[np.searchsorted(not_tab, gap_begin)], gap_end) - gap_begin  # tabs that a gap begins with
     gaps = lead + (gap_end - gap_begin - lead >= 2)
-    cells = _sum(owner[gap_begin], n, gaps) + _sum(owner[np.isin(codes, [ord(c) for c in _CELLS]) | (is_code(",") & ~next_space)], n)
-    sentences = _sum(owner[is_("stop") & (codes != ord("…")) & (np.isin(codes, [ord(c) for c in _WIDE_STOP]) | next_space)], n)
+    cells = _sum(owner[gap_begin], n, gaps) + _sum(owner[is_("cell") | (is_code(",") & ~next_space)], n)
+    sentences = _sum(owner[is_("stop") & (codes != ord("…")) & (is_("wide_stop") | next_space)], n)
     tags = _tag_sizes(codes, nxt, owner, n)
 
     # lines that are not blank, from their first to their last solid character
