@@ -154,6 +154,16 @@ def test_pack_targets_and_empty(spark):
     got = pack(spark, rows, shares={"a": 3.0, "b": 1.0}, window_containers=20).filter("name = 'small' and window = 0")
     t = {r["source"]: r["t"] for r in got.groupBy("source").agg(F.sum("piece_size").alias("t")).collect()}
     assert t == {"a": 1500, "b": 500}
+    items = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, source string, n_tokens bigint, window int")
+    whole = pack(spark, rows, shares={"a": 3.0, "b": 1.0}, window_containers=20)
+    told = {r["source"]: r for r in packing.mixture(whole, packing.target_shares(items, "source", "n_tokens", {"a": 3.0, "b": 1.0})).filter("name = 'small'").collect()}
+    assert (told["a"]["share"], told["a"]["ends_early"], told["a"]["least"], told["a"]["most"]) == (0.75, True, 0.75, 0.75)  # a is used up after 7 windows
+    assert told["a"]["last_window"] == 6 and told["b"]["last_window"] == 19 and not told["b"]["ends_early"] and told["b"]["share"] == 0.25
+    assert {r["source"]: r["share"] for r in packing.target_shares(items.union(items.selectExpr("doc_id", "'c'", "n_tokens * 2", "window").filter("doc_id < 1000")), "source", "n_tokens", {"a": 1.0}).collect()} == {"a": 0.25, "b": 0.25, "c": 0.5}
+    caps = spark.createDataFrame([("small", 100), ("large", 1000)], "name string, capacity int")
+    assert all((r["n_items"], r["n_overfull"], r["n_not_whole"], r["n_needless"], r["n_lost"]) == (2000, 0, 0, 0, 0) for r in packing.faults(whole, items, "doc_id", "n_tokens", caps).collect())
+    spoiled = whole.filter("doc_id > 2").withColumn("container_id", F.when(F.col("doc_id") < 50, -1).otherwise(F.col("container_id")))
+    assert all(r["n_lost"] == 3 and r["n_overfull"] == (1 if r["name"] == "small" else 0) for r in packing.faults(spoiled, items, "doc_id", "n_tokens", caps).collect())
     assert pack(spark, []).count() == 0
     assert pack(spark, [(1, "a", 0)]).count() == 2
 

@@ -11,14 +11,12 @@ best fit, largest first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.session import write_table
+from treeloom.session import BROADCAST_ROWS, write_table
 
 #: Containers' worth of tokens in a window: bounds what one task packs, and the share of half-filled last containers.
 WINDOW_CONTAINERS = 512
@@ -57,37 +55,48 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return number
 
 
+def target_shares(items: DataFrame, source: str, size: str, shares: dict[str, float] | None = None) -> DataFrame:
+    """(source, tokens, share): the target proportion of each source's tokens in every window.
+
+    ``shares`` names proportions, normalised over the sources that are there; sources not named share what their tokens are of all
+    tokens, and the named ones the rest.  By default all sources have their natural share.  Null is a source of its own.
+    """
+    sized = items.filter(F.col(size) > 0).groupBy(F.col(source).cast("string").alias("source")).agg(F.sum(F.col(size).cast("bigint")).alias("tokens"))
+    named = [(str(s), float(x)) for s, x in (shares or {}).items() if x > 0]
+    asked = items.sparkSession.createDataFrame(named, "source string, asked double")  # a parameter's entries
+    told = sized.join(F.broadcast(asked), "source", "left")
+    whole = told.agg(F.sum("tokens").alias("every"), F.sum(F.when(F.col("asked").isNull(), F.col("tokens"))).alias("free"), F.sum("asked").alias("scale")).first()
+    every, free, scale = (float(whole[c] or 0) for c in ("every", "free", "scale"))
+    rest = F.col("asked") / F.lit(scale or 1.0) * F.lit(1 - free / max(every, 1))
+    return told.select("source", "tokens", F.when(F.col("asked").isNull(), F.col("tokens") / F.lit(max(every, 1.0))).otherwise(rest).alias("share"))
+
+
 def pack(items: DataFrame, key: str, source: str, size: str, capacities: DataFrame, shares: dict[str, float] | None = None, window_containers: int = WINDOW_CONTAINERS) -> DataFrame:
     """Assign items to containers of each capacity.
 
     ``items``: one row per item with its source (null is a source of its own) and size; ``capacities``: (name,
-    capacity), a small table.  ``shares``: target token proportions by source, normalised over the sources they
-    name; sources not named share what their tokens are of all tokens; by default all sources do.  Output, one row
+    capacity), a small table; ``shares``: see :func:`target_shares`.  Output, one row
     per piece: name, key, source, piece_no (from 0), piece_begin, piece_size, window, container_id.
 
     * An item above the capacity - no other - is split into pieces of the capacity and a rest.
     * Items of size 0 or null, and null keys, take no space: one row with piece_size 0 and null window and container.
     * Capacities that are null or not positive are left out.  Repeated keys are separate items.
+    * A source whose tokens are used up sends nothing more: later windows hold the quanta of the others, and
+      :func:`mixture` tells where each queue ends.
     """
-    spark = items.sparkSession
     base, _ = write_table(items.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("size")), "items")
     caps = F.broadcast(capacities.select("name", F.col("capacity").cast("bigint").alias("capacity")).filter("capacity > 0 and name is not null"))  # a table of settings: a few rows
     each = base.crossJoin(caps)  # items times a handful of capacities
     idle = each.filter("size = 0 or key is null").select("name", "key", "source", F.lit(0).cast("bigint").alias("piece_no"), F.lit(0).cast("bigint").alias("piece_begin"), F.lit(0).cast("bigint").alias("piece_size"), F.lit(None).cast("bigint").alias("window"), F.lit(None).cast("bigint").alias("container_id"))
+    full = base.filter("size > 0 and key is not null")
     busy = each.filter("size > 0 and key is not null").withColumn("piece_no", F.explode(F.expr("sequence(0L, (size - 1) div capacity)")))
     busy = busy.withColumn("piece_begin", F.col("piece_no") * F.col("capacity")).withColumn("piece_size", F.expr("least(capacity, size - piece_begin)"))
-    per_source = base.filter("size > 0 and key is not null").groupBy("source").agg(F.sum("size").alias("tokens"), F.count("*").alias("n"))
-    totals = per_source.collect()  # one row per source
-    every = sum(r["tokens"] for r in totals)
-    n_rows = sum(r["n"] for r in totals)
-    named = {s: float(x) for s, x in (shares or {}).items() if x > 0}
-    free = sum(r["tokens"] for r in totals if r["source"] not in named) / max(every, 1)
-    scale = sum(named[r["source"]] for r in totals if r["source"] in named)
-    share = {r["source"]: named[r["source"]] / scale * (1 - free) if r["source"] in named else r["tokens"] / every for r in totals}
+    quota, _ = write_table(target_shares(full, "source", "size", shares).select(F.col("source").alias("_q"), "share"), "quota")
+    quota = F.broadcast(quota) if quota.count() <= BROADCAST_ROWS else quota
+    n_rows = full.count()
     buckets = max(16, -(-n_rows // BUCKET_ROWS))
-    quota = spark.createDataFrame([(s, s is None, x) for s, x in share.items()] or [(None, True, 1.0)], "source string, nameless boolean, share double")
     busy = busy.withColumn("turn", F.xxhash64("key", F.lit(7))).withColumn("bucket", F.expr(f"pmod(shiftrightunsigned(turn, 20), {buckets})"))
-    busy = busy.join(F.broadcast(quota.drop("nameless")), busy.source.eqNullSafe(quota.source)).drop(quota.source)
+    busy = busy.join(quota, busy.source.eqNullSafe(F.col("_q"))).drop("_q")
     sums = busy.groupBy("name", "source", "bucket").agg(F.sum("piece_size").alias("tokens"))
     before = Window.partitionBy("name", "source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offset = sums.withColumn("offset", F.coalesce(F.sum("tokens").over(before), F.lit(0))).select(F.col("name").alias("_n"), F.col("source").alias("_s"), F.col("bucket").alias("_b"), "offset")
@@ -114,12 +123,36 @@ def containers(assigned: DataFrame, capacities: DataFrame) -> DataFrame:
     return told.join(caps, "name").select("name", "n_containers", "n_pieces", "n_tokens", (1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))).alias("unused_share"))
 
 
-def mixture(assigned: DataFrame) -> DataFrame:
-    """Per name and source: target share, and the greatest distance of any full window's share from it."""
-    busy = assigned.filter("container_id is not null").withColumn("source", F.coalesce("source", F.lit("")))
+def mixture(assigned: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per name and source: target share, the last window its queue reaches, whether it ends before the others, and its least and greatest share of the tokens of a window.
+
+    ``targets``: :func:`target_shares` of the same items and shares.  Shares of windows are told over those that all
+    queues still fill; where the first window already empties a queue there are none, and they are null.
+    """
+    busy = assigned.filter("container_id is not null")
     cell = busy.groupBy("name", "window", "source").agg(F.sum("piece_size").alias("tokens"))
-    window = cell.groupBy("name", "window").agg(F.sum("tokens").alias("all_tokens"))
-    last = window.groupBy("name").agg(F.max("window").alias("last"))
-    target = cell.groupBy("name", "source").agg(F.sum("tokens").alias("t")).withColumn("share", F.col("t") / F.sum("t").over(Window.partitionBy("name")))
-    told = cell.join(window, ["name", "window"]).join(last, "name").filter("window < last").groupBy("name", "source").agg(F.min(F.col("tokens") / F.col("all_tokens")).alias("least"), F.max(F.col("tokens") / F.col("all_tokens")).alias("most"))
-    return target.select("name", "source", "share").join(told, ["name", "source"], "left")
+    ends = cell.groupBy("name", "source").agg(F.max("window").alias("last_window"))
+    span = ends.groupBy("name").agg(F.min("last_window").alias("first_end"), F.max("last_window").alias("end"))
+    whole = cell.groupBy("name", "window").agg(F.sum("tokens").alias("all_tokens"))
+    rated = cell.join(whole, ["name", "window"]).join(F.broadcast(span), "name").filter("window < first_end")  # one row per capacity
+    told = rated.groupBy("name", "source").agg(F.min(F.col("tokens") / F.col("all_tokens")).alias("least"), F.max(F.col("tokens") / F.col("all_tokens")).alias("most"))
+    told = told.select(F.col("name").alias("_n"), F.col("source").alias("_s"), "least", "most")
+    out = ends.join(F.broadcast(span), "name").join(told, (F.col("name") == F.col("_n")) & F.col("source").eqNullSafe(F.col("_s")), "left")
+    out = out.join(targets.select(F.col("source").alias("_t"), "share"), F.col("source").eqNullSafe(F.col("_t")), "left")
+    return out.select("name", F.coalesce("source", F.lit("")).alias("source"), "share", "last_window", (F.col("last_window") < F.col("end")).alias("ends_early"), "least", "most")
+
+
+def faults(assigned: DataFrame, items: DataFrame, key: str, size: str, capacities: DataFrame) -> DataFrame:
+    """Per name, what must be: number of items and tokens placed, and what must not: each of the other numbers is 0.
+
+    ``n_overfull`` containers above the capacity, ``n_not_whole`` items whose pieces don't follow one another from 0 to the item's size,
+    ``n_needless`` items that are split though they fit, ``n_lost`` items without a row.  Keys must be unique.
+    """
+    caps = F.broadcast(capacities.select("name", "capacity"))
+    loads = assigned.filter("container_id is not null").groupBy("name", "container_id").agg(F.sum("piece_size").alias("load")).join(caps, "name").groupBy("name").agg(F.count_if(F.col("load") > F.col("capacity")).alias("n_overfull"))
+    pieces = assigned.groupBy("name", key).agg(F.count("*").alias("n"), F.max("piece_no").alias("last"), F.sum("piece_size").alias("placed"), F.max(F.col("piece_begin") + F.col("piece_size")).alias("end"))
+    sized = items.select(F.col(key).alias("_k"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size"))
+    both = sized.crossJoin(caps).join(pieces.withColumnRenamed("name", "_n"), (F.col("_k") == F.col(key)) & (F.col("name") == F.col("_n")), "left")  # items times a handful of capacities
+    whole = (F.col("n") == F.col("last") + 1) & (F.col("placed") == F.col("size")) & (F.col("end") == F.col("size"))
+    told = both.groupBy("name").agg(F.count("n").alias("n_items"), F.sum("placed").alias("n_tokens"), F.count_if(F.col("n").isNotNull() & ~whole).alias("n_not_whole"), F.count_if((F.col("n") > 1) & (F.col("size") <= F.col("capacity"))).alias("n_needless"), F.count_if(F.col("n").isNull()).alias("n_lost"))
+    return told.join(loads, "name").select("name", "n_items", "n_tokens", "n_overfull", "n_not_whole", "n_needless", "n_lost")
