@@ -16,7 +16,7 @@ VOCABULARY = f"{tokens.TOKENIZERS}/byte_bpe_50k.json"
 
 # -- splitting
 
-TEXTS = ["First sentence here. Second one, with commas; and clauses: yes! \"Quoted.\" Next\n\nNew paragraph\r\nline " * 9, "x" * 777, "é́" * 300, "一つの実施形態。" * 60 + "終", "👩‍👩‍👧" * 150, " " * 500, "a\n" * 400]
+TEXTS = ["First sentence here. Second one, with commas; and clauses: yes! \"Quoted.\" Next\n\nNew paragraph\r\nline " * 9, "x" * 777, "é́" * 300, "一つの実施形態。" * 60 + "終", "👩‍👩‍👧" * 150, " " * 500, "a\n" * 400, "two words " + "z" * 400 + " end " + "y" * 60]
 
 
 def brute_cut(text, limit, overlap):
@@ -26,6 +26,9 @@ def brute_cut(text, limit, overlap):
     while len(text) - begin > limit:
         window = range(begin + shortest, begin + limit + 1)
         best = max(strength[i] for i in window)
+        if best <= splitting.INSIDE:
+            window = range(begin + overlap + 1, begin + limit + 1)
+            best = max(strength[i] for i in window)
         end = max(i for i in window if strength[i] == best)
         out.append((begin, end))
         begin = end - overlap

@@ -63,4 +63,13 @@ ORACLES = {
     "p5_found": f"""WITH {_TRIPLES},
 m AS (SELECT a.record_id AS a, b.record_id AS b, count(*) AS k FROM t a JOIN t b ON a.g = b.g AND a.record_id < b.record_id GROUP BY a.record_id, b.record_id)
 SELECT m.a AS record_id_a, m.b AS record_id_b FROM m JOIN n x ON x.record_id = m.a JOIN n y ON y.record_id = m.b WHERE 8 * k >= 3 * (x.n + y.n)""",
+    "p5_groups": f"""WITH RECURSIVE {_TRIPLES},
+k AS (SELECT record_id, md5(string_agg(g, '|' ORDER BY g)) AS k FROM t GROUP BY record_id),
+c AS (SELECT record_id, min(record_id) OVER (PARTITION BY k) AS class_id, count(*) OVER (PARTITION BY k) AS n_copies FROM k),
+m AS (SELECT a.record_id AS a, b.record_id AS b, count(*) AS s FROM t a JOIN t b ON a.g = b.g AND a.record_id <> b.record_id GROUP BY a.record_id, b.record_id),
+f AS (SELECT DISTINCT p.class_id AS a, q.class_id AS b FROM m JOIN n x ON x.record_id = m.a JOIN n y ON y.record_id = m.b JOIN c p ON p.record_id = m.a JOIN c q ON q.record_id = m.b WHERE 8 * s >= 3 * (x.n + y.n) AND p.class_id <> q.class_id),
+l AS (SELECT a, count(*) AS n_links FROM f GROUP BY a),
+u AS (SELECT class_id AS r, class_id AS v FROM c UNION SELECT u.r, f.b FROM u JOIN f ON f.a = u.v),
+z AS (SELECT r, min(v) AS group_id FROM u GROUP BY r)
+SELECT c.record_id, z.group_id, c.class_id, c.n_copies, coalesce(l.n_links, 0)::BIGINT AS n_links FROM c JOIN z ON z.r = c.class_id LEFT JOIN l ON l.a = c.class_id""",
 }

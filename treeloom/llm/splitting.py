@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 #: a boundary before a combining mark or between CR and LF is the last choice.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, COMMA, BLANK, INSIDE, JOINED = 7, 6, 5, 4, 3, 2, 1, 0
 
-#: A piece that is cut has at least this share of the limit.
+#: A piece that is cut has at least this share of the limit, unless there is no natural boundary so far up.
 LEAST_SHARE = 0.5
 
 _NEWLINE, _SPACE, _STOP, _WIDE_STOP, _CLAUSE, _COMMA, _WIDE_COMMA, _MARK, _CLOSE = range(1, 10)
@@ -103,6 +103,7 @@ def cut(text: str, limit: int, overlap: int, block: int = 1 << 16) -> list[tuple
 
     Every piece has at most ``limit`` characters; every piece but the first begins exactly ``overlap`` characters
     before the end of the one before.  An overlap of the limit or more is lowered to limit - 1.
+    A cut inside a word is only made where the whole range behind the overlap has no natural boundary.
     """
     size = len(text)
     if size <= limit:
@@ -115,9 +116,11 @@ def cut(text: str, limit: int, overlap: int, block: int = 1 << 16) -> list[tuple
     while size - begin > limit:
         low, high = begin + shortest, begin + limit
         if table is None or high >= base + block:
-            base = low
+            base = begin + overlap + 1
             table = RangeMaximum(strengths[base : base + block], limit + 1)
         end = base + table.at(low - base, high - base)
+        if strengths[end] <= INSIDE:
+            end = base + table.at(begin + overlap + 1 - base, high - base)
         pieces.append((begin, end, int(strengths[end])))
         begin = end - overlap
     pieces.append((begin, size, PARAGRAPH))
