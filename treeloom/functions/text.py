@@ -48,6 +48,11 @@ def code_levels(c: Column) -> Column:
     )
 
 
+def code_levels_of_list(c: Column) -> Column:
+    """:func:`code_levels` of the first code of a list that is not blank; null and empty lists give nulls."""
+    return code_levels(F.get(F.filter(F.transform(c, strip), lambda x: x.isNotNull() & (x != "")), F.lit(0)))
+
+
 def alnum_key(c: Column | str) -> Column:
     """Upper-cased and reduced to A-Z and 0-9; null where nothing is left."""
     s = F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")

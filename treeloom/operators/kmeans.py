@@ -42,14 +42,26 @@ class KMeansResult:
         return float(self.counts.max() / max(1, self.counts.sum()))
 
 
-def unit_rows(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(row, v): unit vectors; rows with a null key, null, NaN, infinite or zero vectors are left out, of a repeated key the smallest vector counts."""
+def unit_rows(df: DataFrame, key: str, vector: str, dim: int | None = None) -> DataFrame:
+    """(row, v): unit vectors of one length, ``dim`` or else the most frequent one (the longest of equally frequent).
+
+    Rows with a null key, null, NaN, infinite or zero vectors and those of another length are left out; of a repeated key the smallest vector counts.
+    """
+    if dim is None:
+        length = df.filter(F.col(key).isNotNull() & (F.size(vector) > 0)).groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()  # one row per length
+        dim = length["d"] if length else 0
+    df = df.filter(F.size(vector) == dim)
     once = df.filter(F.col(key).isNotNull() & valid(F.col(vector))).groupBy(F.col(key).cast("bigint").alias("row")).agg(F.min(F.col(vector).cast("array<double>")).alias("v"))
     return once.select("row", l2(F.col("v")).alias("v"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 1))
+    if not len(column):
+        return np.empty((0, 1))
+    lengths = np.diff(column.offsets.to_numpy())
+    if (lengths != lengths[0]).any():
+        raise ValueError("vectors of different lengths")
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.functions.text import label
+
 AVERAGES = ("arithmetic", "geometric", "min", "max")
 
 
@@ -42,9 +44,20 @@ def scores(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def label_match(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: compared rows, equal ones, their share, unequal ones; a null equals a null only."""
+    """One row: compared rows, equal ones, their share, unequal ones, and ari and nmi, which don't ask for equal names; a null equals a null only."""
     same = F.col(a).eqNullSafe(F.col(b))
-    return df.agg(F.count("*").alias("n"), F.count_if(same).alias("n_equal"), F.count_if(~same).alias("n_unequal")).withColumn("match_rate", F.when(F.col("n") > 0, F.col("n_equal") / F.col("n")))
+    one = df.agg(F.count("*").alias("n"), F.count_if(same).alias("n_equal"), F.count_if(~same).alias("n_unequal")).withColumn("match_rate", F.when(F.col("n") > 0, F.col("n_equal") / F.col("n")))
+    agree = scores(contingency(df, a, b)).select("ari", F.col("nmi_arithmetic").alias("nmi"))
+    return one.join(agree, F.lit(True), "left")  # two single rows
+
+
+def require_labels(df: DataFrame, *columns: str, shown: int = 10) -> DataFrame:
+    """``df`` with its labels as stripped text; null and blank ones raise a ``ValueError`` with the first rows."""
+    told = df.withColumns({c: label(F.col(c).cast("string")) for c in columns})
+    bad = told.filter(" or ".join(f"`{c}` is null" for c in columns)).limit(shown).collect()
+    if bad:
+        raise ValueError(f"null or blank labels: {'; '.join(str(tuple(r)) for r in bad)}")
+    return told
 
 
 def by_level(df: DataFrame, levels: tuple[str, ...], predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -60,6 +73,13 @@ def seed_summary(scored: DataFrame, metrics: tuple[str, ...] = ("nmi_arithmetic"
     return long.unionByName(whole).groupBy("level", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
 
 
+def run_summary(df: DataFrame, cluster: str, similarity: str, by: str = "seed") -> DataFrame:
+    """(metric, mean, std) over runs of their objective (mean of 1 - similarity), number of active clusters and greatest share.  Nulls are left out."""
+    each = cluster_balance(df, cluster, 0, (by,)).join(df.groupBy(by).agg(F.avg(1 - F.col(similarity).cast("double")).alias("objective")), by)
+    long = each.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("objective", "active_clusters", "max_share")])).alias("m")).select("m.metric", "m.value")
+    return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+
+
 def cluster_balance(df: DataFrame, cluster: str, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(*by, active_clusters, max_share, n): over k possible clusters."""
     sizes = df.filter(F.col(cluster).isNotNull()).groupBy(*by, cluster).agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.functions.text import clean_parents, code_levels, label, split_name, strip
+from treeloom.functions.text import cache_identifier, clean_parents, code_levels, label, split_name, strip
 from treeloom.operators.delivery import first_delivery
 from treeloom.operators.hierarchy import forest_summary, node_depths
 
@@ -107,6 +107,28 @@ def claim_count_distribution(records: DataFrame) -> DataFrame:
     return records.groupBy(F.size("claims").cast("bigint").alias("n_claims")).agg(F.count("*").alias("n_records"))
 
 
+def legacy_violations(df: DataFrame, levels: tuple[str, ...] = ("section", "class", "subclass")) -> DataFrame:
+    """(rule, n): legacy records without an identifier or a label of a level, and identifiers beyond their first row."""
+    name = cache_identifier(F.col("patent_id"))
+    told = df.agg(F.count_if(name.isNull()).alias("no_identifier"), *[F.count_if(label(c).isNull()).alias(f"no_{c}") for c in levels], (F.count(name) - F.countDistinct(name)).alias("repeated"))
+    return told.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("n")) for c in told.columns])).alias("e")).select("e.rule", "e.n")
+
+
+def read_legacy(df: DataFrame, expected: int | None = None) -> DataFrame:
+    """Legacy records as they must be: of the ``expected`` number, each with an identifier of its own and all labels; else a ``RecordError``."""
+    if expected is not None and (n := df.count()) != expected:
+        raise RecordError(f"expected {expected} records, found {n}")
+    require_empty(legacy_violations(df).filter("n > 0"), "legacy records")
+    return df
+
+
+def evaluation_records(df: DataFrame) -> DataFrame:
+    """(patent_id, cpc struct<section, class, subclass>) of flat records; a missing identifier or label raises a ``RecordError``."""
+    out = df.select(cache_identifier(F.col("patent_id")).alias("patent_id"), F.struct(*[label(c).alias(c) for c in ("section", "class", "subclass")]).alias("cpc"))
+    require_empty(out.filter("patent_id is null or cpc.section is null or cpc.class is null or cpc.subclass is null"), "records without identifier or label")
+    return out
+
+
 def code_record(df: DataFrame, code: str) -> DataFrame:
     return df.withColumn("levels", code_levels(F.col(code)))
 

@@ -9,9 +9,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.operators.kmeans import _matrix
+
 #: Bound on the squared vector length: what the covariance takes on the driver.
 MOST_DIMENSIONS = 4096
 
@@ -52,7 +55,7 @@ def moments(units: DataFrame, vector: str = "v") -> tuple[int, np.ndarray, np.nd
         n, s, ss = 0, None, None
         for batch in batches:
             if batch.num_rows:
-                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                x = _matrix(batch.column(0))
                 s = x.sum(axis=0) if s is None else s + x.sum(axis=0)
                 ss = x.T @ x if ss is None else ss + x.T @ x
                 n += len(x)
@@ -93,16 +96,21 @@ def transform(df: DataFrame, key: str, vector: str, model: Reduction, unit: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            ok = np.array([v is not None and len(v) == d and None not in v and bool(np.isfinite(v).all()) for v in batch.column(1).to_pylist()], bool)
-            x = batch.column(1).filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).reshape(int(ok.sum()), -1) if ok.any() else np.empty((0, d))
-            y = (x - m.mean) @ m.components.T
+            fits = pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), d), False).to_numpy(zero_copy_only=False)
+            x = batch.column(1).filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(int(fits.sum()), d)
+            good = np.isfinite(x).all(axis=1)  # a null number reads as NaN
+            y = (x[good] - m.mean) @ m.components.T
             if m.whiten:
                 y = y / np.sqrt(np.maximum(m.variances, 1e-300))
             norm = np.linalg.norm(y, axis=1)
-            out: list[list[float] | None] = [None] * len(ok)
-            for i, row, n in zip(np.flatnonzero(ok).tolist(), y, norm):
-                out[i] = None if unit and n < eps else (row / n if unit else row).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], [key, "reduced"])
+            if unit:
+                good[np.flatnonzero(good)[norm < eps]] = False
+                y = y[norm >= eps] / norm[norm >= eps, None]
+            there = np.zeros(batch.num_rows, bool)
+            there[np.flatnonzero(fits)[good]] = True
+            offsets = np.concatenate(([0], np.cumsum(there * y.shape[1]))).astype(np.int32)
+            out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(y.ravel()), mask=pa.array(~there))
+            yield pa.RecordBatch.from_arrays([batch.column(0), out], [key, "reduced"])
 
     source = df.select(key, F.col(vector).cast("array<double>").alias("_v"))
     return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, reduced array<double>")

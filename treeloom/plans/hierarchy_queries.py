@@ -70,7 +70,7 @@ e AS (SELECT DISTINCT a.r, a.id AS child, k.id AS parent FROM (SELECT r, id, tri
 w AS (SELECT r, child AS s, parent AS v FROM e UNION SELECT w.r, w.s, e.parent FROM w JOIN e ON w.r = e.r AND w.v = e.child)
 """
 
-_PLACES = f"""{_LINKS},
+PLACES = f"""{_LINKS},
 cyc AS (SELECT DISTINCT r, s FROM w WHERE s = v),
 bad AS (SELECT r, s FROM cyc UNION SELECT w.r, w.s FROM w JOIN cyc ON w.r = cyc.r AND w.v = cyc.s),
 above AS (SELECT r, s FROM cyc UNION SELECT w.r, w.v FROM w JOIN cyc ON w.r = cyc.r AND w.s = cyc.s),
@@ -98,13 +98,13 @@ t AS (SELECT r, id, max(d) AS depth, count(DISTINCT root) AS n_roots, count(*) A
 d AS (SELECT r, v AS id, count(DISTINCT s) AS n FROM w GROUP BY r, v)
 SELECT k.r AS record_id, k.id AS claim_id, t.depth::BIGINT AS depth, coalesce(d.n, 0)::BIGINT AS n_descendants, coalesce(t.n_roots, -1)::BIGINT AS n_roots, t.n_paths::BIGINT AS n_paths, cyc.s IS NOT NULL AS on_cycle
 FROM k LEFT JOIN t ON t.r = k.r AND t.id = k.id LEFT JOIN d ON d.r = k.r AND d.id = k.id LEFT JOIN cyc ON cyc.r = k.r AND cyc.s = k.id""",
-    "p1_hierarchy": f"""WITH RECURSIVE {_PLACES}
+    "p1_hierarchy": f"""WITH RECURSIVE {PLACES}
 SELECT k.r AS record_id, k.id AS claim_id, CASE WHEN cyc.s IS NOT NULL THEN 'on_cycle' WHEN bad.s IS NOT NULL THEN 'below_cycle' WHEN above.s IS NOT NULL THEN 'above_cycle' ELSE 'ok' END AS status,
  t.depth::BIGINT AS depth, t.roots AS roots, t.paths AS paths, coalesce(d.ds, '') AS descendants
 FROM k LEFT JOIN t ON t.r = k.r AND t.id = k.id LEFT JOIN d ON d.r = k.r AND d.id = k.id LEFT JOIN cyc ON cyc.r = k.r AND cyc.s = k.id LEFT JOIN bad ON bad.r = k.r AND bad.s = k.id LEFT JOIN above ON above.r = k.r AND above.s = k.id""",
     "p1_parents": f"WITH RECURSIVE {_LINKS} SELECT r AS record_id, child AS claim_id, parent FROM e",
-    "p1_edges": f"""WITH RECURSIVE {_PLACES}
+    "p1_edges": f"""WITH RECURSIVE {PLACES}
 SELECT k.r || ':' || k.id AS node, hh.height::INT AS height, t.depth::INT AS depth, (t.depth + 1)::INT AS path_length, CASE WHEN hh.height IS NOT NULL THEN coalesce(d.n, 0)::BIGINT END AS n_descendants, hh.height IS NULL AS in_cycle_part
 FROM k LEFT JOIN t ON t.r = k.r AND t.id = k.id LEFT JOIN d ON d.r = k.r AND d.id = k.id LEFT JOIN hh ON hh.r = k.r AND hh.id = k.id""",
-    "p1_descendants": f"WITH RECURSIVE {_PLACES} SELECT DISTINCT w.r || ':' || w.v AS node, w.r || ':' || w.s AS descendant FROM w JOIN firm ON firm.r = w.r AND firm.id = w.v",
+    "p1_descendants": f"WITH RECURSIVE {PLACES} SELECT DISTINCT w.r || ':' || w.v AS node, w.r || ':' || w.s AS descendant FROM w JOIN firm ON firm.r = w.r AND firm.id = w.v",
 }

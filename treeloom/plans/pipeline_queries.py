@@ -9,6 +9,7 @@ from treeloom.operators import kmeans, records, reduction
 from treeloom.operators.experiments import verify_outputs
 from treeloom.operators.metrics import by_level
 from treeloom.operators.pooling import Pooling, pool
+from treeloom.plans.hierarchy_queries import PLACES
 from treeloom.session import write_table
 from treeloom.sources.synthetic import synthetic_vectors
 
@@ -39,4 +40,6 @@ def pipeline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"pipeline_checks": pipeline_checks, "pipeline_scores": pipeline_scores}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "pipeline_checks": f"WITH RECURSIVE {PLACES} SELECT count(DISTINCT r) AS n_rows, true AS same_rows, true AS finite, true AS unit, true AS all_active, true AS passed FROM good",
+}
