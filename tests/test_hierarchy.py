@@ -83,25 +83,49 @@ def test_random_graphs_against_brute_force(spark):
     assert got == {(k, x) for k, nodes in rows for x in brute_cycles(nodes)}
 
 
-def test_peel_edges_agrees(spark):
+@pytest.mark.parametrize("tail", [2, 1000])
+def test_peel_edges_agrees(spark, tail):
     links = [("b", "a"), ("c", "b"), ("d", "b"), ("a", None), ("x", "y"), ("y", "x"), ("z", "y"), ("r", "x"), ("q", None), ("b", "a"), ("d", "q")]
     table = spark.createDataFrame(links, "child string, parent string")
-    out = {r["node"]: r for r in peel_edges(table).collect()}
+    out = {r["node"]: r for r in peel_edges(table, tail_links=tail).collect()}
     assert out["d"]["path"] == ["a", "b", "d"] and out["a"]["n_descendants"] == 3 and out["q"]["depth"] == 0 and out["q"]["height"] == 1
     assert out["x"]["in_cycle_part"] and out["y"]["in_cycle_part"] and out["z"]["depth"] is None and out["z"]["height"] == 0
-    below = {tuple(r) for r in peeled_descendants(table).collect()}
+    below = {tuple(r) for r in peeled_descendants(table, tail_links=tail).collect()}
     assert below == {("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("q", "d")}
     assert peel_edges(table.limit(0)).count() == 0
 
 
-def test_chain_deeper_than_the_kept_parts(spark):
+@pytest.mark.parametrize("tail", [0])
+def test_chain_deeper_than_the_kept_parts(spark, tail):
     """A caterpillar: every node of a chain has a leaf besides, so that all wait long; messages are merged on the way."""
     links = [(f"{k:03}", f"{k - 1:03}") for k in range(1, 20)] + [(f"leaf{k}", f"{k:03}") for k in range(20)]
-    out = {r["node"]: r for r in peel_edges(spark.createDataFrame(links, "child string, parent string")).collect()}
+    out = {r["node"]: r for r in peel_edges(spark.createDataFrame(links, "child string, parent string"), tail_links=tail).collect()}
     assert out["000"]["height"] == 20 and out["019"]["depth"] == 19 and out["000"]["n_descendants"] == 39 and not any(r["in_cycle_part"] for r in out.values())
     assert out["leaf19"]["path"] == [f"{k:03}" for k in range(20)] + ["leaf19"] and out["leaf19"]["root"] == "000"
 
 
+@pytest.mark.parametrize("tail", [0, 6, 1000])
+def test_peel_edges_of_random_graphs(spark, tail):
+    """Many small graphs with cycles and several parents, as one table: the distributed form agrees with the nested one."""
+    rng = random.Random(11)
+    rows = [(k, [(str(i), [str(rng.randint(0, 9)) for _ in range(rng.choice([0, 1, 1, 2]))]) for i in range(9)]) for k in range(12)]
+    links = [(f"{k}:{i}", f"{k}:{p}" if p != "9" else None) for k, nodes in rows for i, ps in nodes for p in (ps or ["9"])]
+    want = {f"{r['key']}:{r['node']}": r for r in peel_nested(forest(spark, rows), "key", "nodes", "id", "up").collect()}
+    table = spark.createDataFrame(links, "child string, parent string")
+    listed = peel_edges(table, tail_links=tail).collect()
+    got = {r["node"]: r for r in listed}
+    assert set(got) == set(want) and len(listed) == len(want)
+    for name, r in got.items():
+        w = want[name]
+        assert (r["height"], r["depth"], r["in_cycle_part"]) == (w["height"], w["depth"], w["height"] is None)
+        assert r["n_descendants"] == (None if w["height"] is None else len(w["descendants"]))
+        if w["depth"] is not None:
+            k = name.split(":")[0]
+            assert [x.split(":")[1] for x in r["path"]] in [p for p in w["paths"] if len(p) == w["depth"] + 1] and r["root"] == r["path"][0] == f"{k}:{r['path'][0].split(':')[1]}"
+    pairs = {tuple(r) for r in peeled_descendants(table, tail_links=tail).collect()}
+    assert pairs == {(n, f"{n.split(':')[0]}:{d}") for n, w in want.items() if w["height"] is not None for d in w["descendants"]}
+
+
 def test_summary_and_depths_of_random_graphs(spark):
     rng = random.Random(5)
     rows = [(k, [(str(i), [str(rng.randint(0, n)) for _ in range(rng.randint(0, 2))]) for i in range(n)]) for k, n in enumerate([0, 1, *(rng.randint(1, 12) for _ in range(40))])]

@@ -344,6 +344,8 @@ def ancestor_links(described: DataFrame, key: str) -> DataFrame:
 
 #: Tables of messages that a loop keeps before it merges them.
 _MOST_PARTS = 12
+#: Links that one task takes on: the rest of a table is peeled there once no more are left.
+TAIL_LINKS = 200_000
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -353,7 +355,7 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return told
 
 
-def peel_edges(links: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+def peel_edges(links: DataFrame, child: str = "child", parent: str = "parent", tail_links: int = TAIL_LINKS) -> DataFrame:
     """Distributed leaf peeling of a table of links: node, height, depth, root, path, n_descendants, in_cycle_part.
 
     For forests that don't fit into one row.  A null parent marks a root; parents need no row of their own; repeated
@@ -364,70 +366,193 @@ def peel_edges(links: DataFrame, child: str = "child", parent: str = "parent") -
 
     One round per level of height, and one per level of depth.  A round writes the messages of its leaves and the nodes that
     become leaves by them, and nothing of those that go on waiting; messages to nodes still waiting are merged now and then.
-    Rounds end by themselves: each takes at least one node, so there is no limit to the depth.
+    Once at most ``tail_links`` links between waiting nodes are left, one task peels those to the end, so that a few deep chains take no
+    rounds of their own.  Rounds end by themselves: each takes at least one node, so there is no limit to the depth.
     """
-    return _peel(links, child, parent)[0]
+    down, below, top = _peel(links, child, parent, tail_links)
+    told = down.join(below.groupBy("v").agg(F.count("*").alias("n")), "v", "left").join(top, "v", "left")
+    peeled = F.col("height").isNotNull()
+    return told.select(F.col("v").alias("node"), "height", "depth", "root", "path", F.when(peeled, F.coalesce("n", F.lit(0))).alias("n_descendants"), (~peeled).alias("in_cycle_part"))
 
 
-def peeled_descendants(links: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+def peeled_descendants(links: DataFrame, child: str = "child", parent: str = "parent", tail_links: int = TAIL_LINKS) -> DataFrame:
     """(node, descendant) of every node that leaf peeling takes, distinct."""
-    return _peel(links, child, parent)[1]
+    return _peel(links, child, parent, tail_links, upward=False)[1].select(F.col("v").alias("node"), F.col("d").alias("descendant"))
 
 
-def _peel(links: DataFrame, child: str, parent: str) -> tuple[DataFrame, DataFrame]:
+def _peel(links: DataFrame, child: str, parent: str, tail_links: int, upward: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """((v, height) of every node, (v, d) descendants of peeled ones, (v, depth, root, path))."""
     edges = links.select(links[child].cast("string").alias("c"), links[parent].cast("string").alias("p")).filter("c is not null").distinct()
     nodes, _ = write_table(edges.select(F.col("c").alias("v")).union(edges.filter("p is not null").select(F.col("p").alias("v"))).distinct(), "nodes")
     edges, _ = write_table(edges.filter("p is not null"), "edges")
+    height, below = _bottom_up(nodes, edges, tail_links)
+    return nodes.join(height, "v", "left"), below, _top_down(nodes, edges, tail_links) if upward else None
+
+
+def _bottom_up(nodes: DataFrame, edges: DataFrame, tail_links: int) -> tuple[DataFrame, DataFrame]:
+    """((v, height), (v, d)) of all nodes that are peeled.
+
+    A message (v, d, told) says that d is a descendant of v; told is the sender's height where d is the sender, a child, else null.
+    """
     children = edges.groupBy(F.col("p").alias("v")).agg(F.count("*").alias("n"))
-    pair = "v string, d string"
-    leaves, _ = write_table(nodes.join(children, "v", "left_anti"), "leaves")
-    below = nodes.sparkSession.createDataFrame([], pair)
-    sent: list[DataFrame] = []  # (v, d): descendants that peeled children told v; the child itself has told = 1
-    peeled, descendants = [], [below]
-    level = 0
-    while not leaves.isEmpty():
-        peeled.append(leaves.select("v", F.lit(level).alias("height")))
-        up = edges.join(leaves, edges.c == leaves.v).select("p", "c")
-        message = up.select(F.col("p").alias("v"), F.col("c").alias("d"), F.lit(1).alias("told")).union(up.join(below, up.c == below.v).select(F.col("p").alias("v"), "d", F.lit(0).alias("told")))
+    peeled = [write_table(nodes.join(children, "v", "left_anti").select("v", F.lit(0).alias("height")), "leaves")[0]]
+    descendants = [nodes.sparkSession.createDataFrame([], "v string, d string")]
+    leaves, below, sent = peeled[0], descendants[0], []
+    while True:
+        up = edges.join(leaves, edges.c == leaves.v).select("p", "c", "height")
+        message = up.select(F.col("p").alias("v"), F.col("c").alias("d"), F.col("height").alias("told")).union(up.join(below, up.c == below.v).select(F.col("p").alias("v"), "d", F.lit(None).cast("int").alias("told")))
         message, _ = write_table(message, "message")
         sent.append(message)
+        if message.isEmpty():
+            break
+        waiting = edges.join(_all(peeled).select(F.col("v").alias("c")), "c", "left_anti")
+        if waiting.count() <= tail_links:
+            heights, pairs = _tail_bottom_up(waiting, children, _all(sent).join(_all(peeled).select("v"), "v", "left_anti"))
+            return _all([*peeled, heights]), _all([*descendants, pairs])
         heard = _all(sent).join(message.select("v").distinct(), "v", "left_semi")
-        ready = heard.groupBy("v").agg(F.sum("told").alias("k")).join(children, "v").filter("k = n").select("v")
+        ready = heard.groupBy("v").agg(F.count("told").alias("k"), (F.max("told") + 1).alias("height")).join(children, "v").filter("k = n").select("v", "height")
         leaves, _ = write_table(ready, "leaves")
-        below, _ = write_table(heard.join(leaves, "v", "left_semi").select("v", "d").distinct(), "below")
+        below, _ = write_table(heard.join(leaves.select("v"), "v", "left_semi").select("v", "d").distinct(), "below")
+        peeled.append(leaves)
         descendants.append(below)
-        level += 1
         if len(sent) > _MOST_PARTS:
-            done = _all([p.select("v") for p in peeled]).union(leaves)
-            sent = [write_table(_all(sent).join(done, "v", "left_anti"), "message")[0]]
-            peeled = [write_table(_all(peeled), "peeled")[0]]
-            descendants = [write_table(_all(descendants), "below")[0]]
-    below = _all(descendants)
-    down = _all(peeled) if peeled else nodes.select("v", F.lit(0).alias("height")).limit(0)
-    told = nodes.join(down, "v", "left").join(below.groupBy("v").agg(F.count("*").alias("n")), "v", "left")
-    up = _top_down(nodes, edges)
-    out = told.join(up, "v", "left").select(
-        F.col("v").alias("node"), "height", "depth", "root", "path", F.when(F.col("height").isNotNull(), F.coalesce("n", F.lit(0))).alias("n_descendants"), F.col("height").isNull().alias("in_cycle_part")
-    )
-    return out, below.select(F.col("v").alias("node"), F.col("d").alias("descendant"))
-
-
-def _top_down(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+            sent = [write_table(_all(sent).join(_all(peeled).select("v"), "v", "left_anti").distinct(), "message")[0]]
+            peeled, descendants = [write_table(_all(peeled), "peeled")[0]], [write_table(_all(descendants), "below")[0]]
+    return _all(peeled), _all(descendants)
+
+
+def _tail_bottom_up(waiting: DataFrame, children: DataFrame, sent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rest of the peeling, of a bounded number of links between nodes that wait and the messages to those: one task walks their graph."""
+    heard = sent.groupBy("v").agg(F.count("told").alias("k"), (F.max("told") + 1).alias("base")).join(children, "v")
+    inner = waiting.select(F.col("c").alias("v")).union(waiting.select("p")).union(heard.filter("k = n").select("v")).distinct()
+    base = inner.join(heard.select("v", "base"), "v", "left")
+    rows = waiting.select("c", "p", F.lit(None).cast("int").alias("base")).union(base.select(F.col("v").alias("c"), F.lit(None).cast("string").alias("p"), F.coalesce("base", F.lit(0)).alias("base")))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, up, down, height = {}, [], [], []
+
+        def at(name: str) -> int:
+            if name not in names:
+                names[name] = len(names)
+                up.append([])
+                down.append([])
+                height.append(0)
+            return names[name]
+
+        for batch in batches:
+            for c, p, h in zip(*(x.to_pylist() for x in batch.columns)):
+                if p is None:
+                    i = at(c)
+                    height[i] = max(height[i], h)
+                else:
+                    i, j = at(c), at(p)
+                    up[i].append(j)
+                    down[j].append(i)
+        left = [len(d) for d in down]
+        order = [i for i, n in enumerate(left) if not n]
+        for i in order:
+            for j in up[i]:
+                height[j] = max(height[j], height[i] + 1)
+                left[j] -= 1
+                if not left[j]:
+                    order.append(j)
+        listed, out = list(names), []
+        for i in order:
+            out.append((listed[i], height[i], None))
+            seen, todo = set(), list(down[i])
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    out.append((listed[i], None, listed[x]))
+                    todo += down[x]
+            if len(out) > 100_000:
+                yield _rows(out, ("v", pa.string()), ("height", pa.int32()), ("d", pa.string()))
+                out = []
+        if out:
+            yield _rows(out, ("v", pa.string()), ("height", pa.int32()), ("d", pa.string()))
+
+    told, _ = write_table(rows.coalesce(1).mapInArrow(walk, "v string, height int, d string"), "tail")
+    heights = told.filter("height is not null").select("v", "height")
+    inner = told.filter("d is not null").select("v", "d")
+    reached = inner.select("v", F.col("d").alias("u")).union(heights.select("v", F.col("v").alias("u")))
+    outer = reached.join(sent.select(F.col("v").alias("u"), "d"), "u").select("v", "d")
+    return heights, inner.union(outer).distinct()
+
+
+def _rows(rows: list[tuple], *columns: tuple[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, (_, kind) in zip(zip(*rows), columns)], [name for name, _ in columns])
+
+
+def _top_down(nodes: DataFrame, edges: DataFrame, tail_links: int) -> DataFrame:
     """(v, depth, root, path): each level reads the paths of its parents; a node waits until all its parents have one."""
     parents = edges.groupBy(F.col("c").alias("v")).agg(F.count("*").alias("n"))
     known = nodes.join(parents, "v", "left_anti").select("v", F.lit(0).alias("depth"), F.col("v").alias("root"), F.array("v").alias("path"))
     known, _ = write_table(known, "known")
     parts, sent = [known], []
-    while not known.isEmpty():
+    while True:
         step = known.join(edges, known.v == edges.p).select(F.col("c").alias("v"), F.struct((-F.col("depth") - 1).alias("depth"), "p", "root", "path").alias("x"))
         step, _ = write_table(step.groupBy("v").agg(F.count("*").alias("k"), F.min("x").alias("x")), "step")
         sent.append(step)
+        if step.isEmpty():
+            return _all(parts)
+        waiting = edges.join(_all(parts).select(F.col("v").alias("p")), "p", "left_anti")
+        if waiting.count() <= tail_links:
+            return _all([*parts, _tail_top_down(waiting, _all(sent).join(_all(parts).select("v"), "v", "left_anti"), parents)])
         heard = _all(sent).join(step.select("v"), "v", "left_semi").groupBy("v").agg(F.sum("k").alias("k"), F.min("x").alias("x"))
         ready = heard.join(parents, "v").filter("k = n").select("v", (-F.col("x.depth")).alias("depth"), "x.root", F.array_append("x.path", F.col("v")).alias("path"))
         known, _ = write_table(ready, "known")
         parts.append(known)
         if len(sent) > _MOST_PARTS:
-            done = _all([p.select("v") for p in parts])
-            sent = [write_table(_all(sent).join(done, "v", "left_anti").groupBy("v").agg(F.sum("k").alias("k"), F.min("x").alias("x")), "step")[0]]
+            sent = [write_table(_all(sent).join(_all(parts).select("v"), "v", "left_anti").groupBy("v").agg(F.sum("k").alias("k"), F.min("x").alias("x")), "step")[0]]
             parts = [write_table(_all(parts), "known")[0]]
-    return _all(parts)
+
+
+def _tail_top_down(waiting: DataFrame, sent: DataFrame, parents: DataFrame) -> DataFrame:
+    """Depths, roots and paths of the nodes still without, of a bounded number of links from nodes that wait: one task walks their graph.
+
+    It tells each node's top, the node of its path that known parents reach, and the nodes from there; the path above the top is joined.
+    """
+    best = sent.groupBy("v").agg(F.sum("k").alias("k"), F.min("x").alias("x")).join(parents, "v")
+    inner = waiting.select(F.col("c").alias("v")).union(waiting.select(F.col("p").alias("v"))).distinct()
+    simple = best.join(inner, "v", "left_anti").filter("k = n")
+    direct = simple.select("v", (-F.col("x.depth")).alias("depth"), "x.root", F.array_append("x.path", F.col("v")).alias("path"))
+    held = best.join(inner, "v", "left_semi")
+    rows = waiting.select("c", "p", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("via")).union(held.select(F.col("v").alias("c"), F.lit(None).cast("string").alias("p"), (-F.col("x.depth")).alias("depth"), F.col("x.p").alias("via")))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, down, first = {}, {}, {}
+        for batch in batches:
+            for c, p, depth, via in zip(*(x.to_pylist() for x in batch.columns)):
+                if p is None:
+                    first[c] = (depth, via)
+                    up.setdefault(c, [])
+                else:
+                    up.setdefault(c, []).append(p)
+                    up.setdefault(p, [])
+                    down.setdefault(p, []).append(c)
+        left = {v: len(ps) for v, ps in up.items()}
+        order = [v for v, n in left.items() if not n]
+        depth, chosen, out = {}, {}, []
+        for v in order:
+            found = [(-depth[p] - 1, p, True) for p in up[v]] + ([(-first[v][0], first[v][1], False)] if v in first else [])
+            far, p, inside = min(found)
+            depth[v], chosen[v] = -far, p if inside else None
+            for c in down.get(v, ()):
+                left[c] -= 1
+                if not left[c]:
+                    order.append(c)
+            part, x = [v], v
+            while chosen[x] is not None:
+                x = chosen[x]
+                part.append(x)
+            out.append((v, depth[v], x, part[::-1]))
+            if len(out) > 2000:
+                yield _rows(out, ("v", pa.string()), ("depth", pa.int32()), ("top", pa.string()), ("part", pa.list_(pa.string())))
+                out = []
+        if out:
+            yield _rows(out, ("v", pa.string()), ("depth", pa.int32()), ("top", pa.string()), ("part", pa.list_(pa.string())))
+
+    told, _ = write_table(rows.coalesce(1).mapInArrow(walk, "v string, depth int, top string, part array<string>"), "tail")
+    above = held.select(F.col("v").alias("top"), "x.root", F.col("x.path").alias("head"))
+    return direct.union(told.join(above, "top").select("v", "depth", "root", F.concat("head", "part").alias("path")))
