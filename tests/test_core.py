@@ -251,12 +251,93 @@ def test_stream_resumes(spark, tmp_path):
     from pyspark.sql.types import _parse_datatype_string
 
     kind = _parse_datatype_string(schema)
-    for part in (rows[:1], rows[1:]):  # the second call reads only what is new
+    again = (1, 1, [[9.0, 9.0]], 1, datetime(2022, 1, 1))  # encoded anew later: the first one counts, in whatever batch it comes
+    for part in (rows[:1], rows[1:], [again]):  # the later calls read only what is new
         spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(source)
-        accumulate_stream(spark, source, kind, depths, p, state, held)
-    got = {r["patent_id"]: (r["vector"], r["n_parts"]) for r in finalize(spark, state).collect()}
+        accumulate_stream(spark, source, kind, state, held, merge_after=2)
+    assert [p for p in os.listdir(state) if p.startswith("generation=")] == ["generation=2"]  # merged twice
+    rows.append(again)
+    got = {r["patent_id"]: (r["vector"], r["n_parts"]) for r in finalize(spark, state, depths, p).collect()}
     parts = pooling.part_vectors(spark.createDataFrame(rows, kind)).join(depths, ["patent_id", "claim_id"])
     want = {r["patent_id"]: (r["vector"], r["n_parts"]) for r in pooling.pool(parts, p).collect()}
     assert got.keys() == want.keys() and all(got[k][0] == pytest.approx(want[k][0]) and got[k][1] == want[k][1] for k in got)
     events = spark.createDataFrame([(datetime(2021, 1, 1, 0, 5), "a", 1.0), (None, "a", 1.0)], "ts timestamp, event_type string, value double")
     assert event_windows(events).count() == 1
+
+
+def test_late_rows_are_dropped_in_append_mode(spark, tmp_path):
+    from datetime import datetime
+
+    from treeloom.streaming.accumulate import stream_windows
+
+    kind = "ts timestamp, event_type string, value double"
+    source, out, held = (str(tmp_path / x) for x in ("in", "out", "check"))
+    batches = ([(datetime(2021, 1, 1, 0, 5), "a", 1.0), (datetime(2021, 1, 1, 0, 50), "a", 2.0)], [(datetime(2021, 1, 1, 5, 0), "a", 4.0)], [(datetime(2021, 1, 1, 0, 7), "a", 8.0), (datetime(2021, 1, 1, 9, 0), "a", 16.0)], [(datetime(2021, 1, 1, 20, 0), "a", 32.0)])
+    for rows in batches:
+        df = spark.createDataFrame(rows, kind)
+        df.coalesce(1).write.mode("append").parquet(source)
+        stream_windows(spark, source, df.schema, out, held, mode="append")
+    got = {r["window_start"]: (r["n"], r["total"]) for r in spark.read.parquet(out).collect()}
+    assert got[datetime(2021, 1, 1)] == (2, 3.0) and got[datetime(2021, 1, 1, 5)] == (1, 4.0)  # the row of 0:07 came after its window was closed
+
+
+def test_line_delimited_and_malformed_json(spark, tmp_path):
+    record = {"patent_id": "P", "claims": [{"claim_id": "1", "text": "t", "parent_ids": []}], "cpc": None}
+    (tmp_path / "l.json").write_text("".join(json.dumps(record | {"patent_id": f"P{k}"}) + "\n" for k in range(5)))
+    assert [r["patent_id"] for r in readers.read_records(spark, str(tmp_path / "l.json")).orderBy("patent_id").collect()] == [f"P{k}" for k in range(5)]
+    (tmp_path / "one.json").write_text(json.dumps({"records": [record, record]}))
+    (tmp_path / "pretty.json").write_text(json.dumps([record, record], indent=2))
+    assert readers.read_records(spark, str(tmp_path / "one.json")).count() == 2 and readers.read_records(spark, str(tmp_path / "pretty.json")).count() == 2
+    assert readers.read_records(spark, str(tmp_path / "l.json"), layout="lines").count() == 5
+    (tmp_path / "bad.json").write_text(json.dumps(record) + "\n{nothing\n")
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
+        readers.read_records(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_numpy_files(spark, tmp_path):
+    from treeloom.sources import arrays
+
+    x = np.arange(12, dtype=np.float16).reshape(4, 3)
+    np.save(tmp_path / "m.npy", x)
+    np.save(tmp_path / "f.npy", np.asfortranarray(x.astype(np.float64)))
+    np.savez(tmp_path / "a.npz", features=x, patent_ids=np.array(["p", "q", "r", "s"]), labels=np.array([[1], [2], [1], [3]]))
+    np.savez_compressed(tmp_path / "b.npz", features=np.array([[np.nan]]), patent_ids=np.array(["p"]))
+    np.save(tmp_path / "o.npy", np.array([{"code": 1}], dtype=object), allow_pickle=True)
+    for name in ("m.npy", "f.npy"):
+        got = arrays.read_matrix(spark, str(tmp_path / name), expected_rows=4, expected_dim=3).orderBy("row_idx").collect()
+        assert [list(r["features"]) for r in got] == x.tolist()
+    keys = {(os.path.basename(r["path"]), r["key"]): (r["n_rows"], r["n_columns"]) for r in arrays.npz_keys(spark, str(tmp_path)).collect()}
+    assert keys[("a.npz", "features")] == (4, 3) and keys[("a.npz", "labels")] == (4, 1) and len(keys) == 5
+    assert [r["patent_id"] for r in arrays.read_features(spark, str(tmp_path / "a.npz")).orderBy("row_idx").collect()] == ["p", "q", "r", "s"]
+    assert [r["label"] for r in arrays.read_predictions(spark, str(tmp_path / "a.npz"), 4, key="labels").orderBy("row_idx").collect()] == [1, 2, 1, 3]
+    for wrong in (lambda: arrays.read_matrix(spark, str(tmp_path / "a.npz"), "missing").collect(), lambda: arrays.read_matrix(spark, str(tmp_path / "b.npz"), "features").collect(), lambda: arrays.read_matrix(spark, str(tmp_path / "o.npy")).collect(), lambda: arrays.read_matrix(spark, str(tmp_path / "m.npy"), expected_rows=5), lambda: arrays.read_predictions(spark, str(tmp_path / "m.npy")).collect()):
+        with pytest.raises(Exception, match="array|matrix|rows|NaN|vector"):
+            wrong()
+
+
+def test_strict_joins_and_quantiles(spark):
+    from treeloom.operators import checks, metrics, records
+
+    left, right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string"), spark.createDataFrame([(1, "c"), (3, "d")], "k int, y string")
+    with pytest.raises(ValueError, match="2"):
+        checks.join_strict(left, right, ["k"], "no depth")
+    with pytest.raises(ValueError, match="1 positions only on the left"):
+        checks.align_positions(left, right, "k")
+    assert checks.align_positions(left, left.withColumnRenamed("x", "z"), "k").count() == 2
+    rng = np.random.default_rng(0)
+    for values in (rng.exponential(size=1000), np.zeros(5), np.array([3.0]), np.round(rng.random(501), 1)):
+        df = spark.createDataFrame([(v.tolist(),) for v in np.array_split(values, 4)], "d array<double>").repartition(3)
+        for share in (0.0, 0.5, 0.99, 1.0):
+            assert checks.quantile(df, "d", share) == pytest.approx(np.quantile(values, share), abs=0)
+    assert checks.quantile(spark.createDataFrame([], "d array<double>"), "d", 0.5) is None
+    assert {(r["k"], r["row_idx"]) for r in checks.positions(spark.createDataFrame([(7,), (3,), (None,), (7,), (5,)], "k int"), "k").collect()} == {(3, 0), (5, 1), (7, 2)}
+    with pytest.raises(ValueError, match="null or blank"):
+        metrics.require_labels(spark.createDataFrame([(1, " ")], "k int, x string"), "x")
+    flat = spark.createDataFrame([(12, "A", "A01", "A01B"), (13, None, "A01", "A01B")], "patent_id bigint, section string, class string, subclass string")
+    assert records.evaluation_records(flat.limit(1)).first()["cpc"]["class"] == "A01"
+    for wrong in (lambda: records.evaluation_records(flat), lambda: records.read_legacy(flat), lambda: records.read_legacy(flat, 3)):
+        with pytest.raises(records.RecordError):
+            wrong()
+    from treeloom.functions.text import code_levels_of_list
+
+    assert spark.createDataFrame([([None, " ", "a61k 9/00", "B01D"],)], "c array<string>").select(code_levels_of_list(F.col("c")).alias("l")).first()["l"]["class"] == "A61"

@@ -49,11 +49,20 @@ def part_vectors(entries: DataFrame) -> DataFrame:
     without a finite mean (no tokens, NaN, null) are left out; num_tokens null or above the stored number means all.
     A claim encoded very often is reduced map-side.
     """
+    return first_parts(part_candidates(entries)).select("patent_id", "claim_id", F.col("best.v").alias("vector"))
+
+
+def first_parts(candidates: DataFrame) -> DataFrame:
+    """(patent_id, claim_id, best): the earliest of several candidates; any grouping of the rows gives the same in the end."""
+    return candidates.groupBy("patent_id", "claim_id").agg(F.min("best").alias("best"))
+
+
+def part_candidates(entries: DataFrame) -> DataFrame:
+    """(patent_id, claim_id, best struct<late, at, v>): the mean token vector of each row and what orders rows of one claim."""
     mean = truncated_mean(F.col("token_embeddings"), F.col("num_tokens"))
     each = entries.filter("patent_id is not null and claim_id is not null").select("patent_id", "claim_id", "encoded_at", mean.alias("vector"))
     each = each.filter(F.coalesce(is_finite(F.col("vector")), F.lit(False)))
-    order = F.struct(F.col("encoded_at").isNull().alias("late"), F.col("encoded_at").alias("at"), F.col("vector").alias("v"))
-    return each.groupBy("patent_id", "claim_id").agg(F.min_by("vector", order).alias("vector"))
+    return each.select("patent_id", "claim_id", F.struct(F.col("encoded_at").isNull().alias("late"), F.col("encoded_at").alias("at"), F.col("vector").alias("v")).alias("best"))
 
 
 def record_depths(records: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.functions.vectors import masked_mean, truncated_mean
+from treeloom.operators.checks import unmatched
 from treeloom.operators.experiments import sensitivity_grid
 from treeloom.operators.pooling import Pooling, accumulation_summary, missing_documents, part_vectors, partial_sums, pool, pool_grid, record_depths, weight
-from treeloom.streaming.accumulate import accumulate_stream, event_windows, finalize, fresh_folder
+from treeloom.session import fresh_path
+from treeloom.streaming.accumulate import accumulate_stream, finalize, stream_windows
 
 RAW = dict(unit_before=False, unit_after=False)
 
@@ -106,23 +108,40 @@ def shard_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.groupBy("shard").agg(F.count("*").alias("n_patents"), F.sum("n").alias("n_parts"), (F.round(F.sum("w"), 4) + F.lit(0.0)).alias("weight"))
 
 
+def _in_files(df: DataFrame, name: str, by: str, files: int) -> str:
+    """A copy of a table in several files, for a stream to read a few at a time; rows of one ``by`` lie in one file."""
+    path = fresh_path(df.sparkSession, name)
+    df.repartition(files, by).write.parquet(path)
+    return path
+
+
 def stream_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table read as a file stream, accumulated and finalized; equals the batch pooling of the same rows."""
-    name = f"{sf_dir}/token_entries.parquet"
-    schema = spark.read.parquet(name).schema
-    state, checkpoint = fresh_folder(spark, "state"), fresh_folder(spark, "stream")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(name)
-    is_folder = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(folder).isDirectory()
-    source, pattern = (name, "*.parquet") if is_folder else (sf_dir, "token_entries.parquet")
-    depths = _depths(spark, sf_dir)
-    accumulate_stream(spark, source, schema, depths, Pooling(**RAW), state, checkpoint, pattern)
-    return _long(finalize(spark, state), "patent_id")
+    """The table as a stream of 12 files, three a batch, merged after two; equals the batch pooling of the same rows."""
+    entries = _entries(spark, sf_dir)
+    source, state = _in_files(entries, "entries", "shard", 12), fresh_path(spark, "state")
+    accumulate_stream(spark, source, entries.schema, state, fresh_path(spark, "stream"), files_per_trigger=3, merge_after=2)
+    return _long(finalize(spark, state, _depths(spark, sf_dir), Pooling(**RAW)), "patent_id")
 
 
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling hourly windows over events (batch form of the watermarked stream)."""
-    out = event_windows(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    return out.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", (F.round("total", 4) + F.lit(0.0)).alias("total"))
+    """Tumbling hourly windows over a stream of 6 files, two a batch."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    source, out = _in_files(events, "events", "user_id", 6), fresh_path(spark, "windows")
+    stream_windows(spark, source, events.schema, out, fresh_path(spark, "stream"), files_per_trigger=2)
+    told = spark.read.parquet(out)
+    return told.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", (F.round("total", 4) + F.lit(0.0)).alias("total"))
+
+
+def token_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims with token vectors but without a depth: what the join of the pooling leaves out."""
+    return unmatched(_entries(spark, sf_dir).filter("patent_id is not null and claim_id is not null"), _depths(spark, sf_dir), ["patent_id", "claim_id"])
+
+
+def stray_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each shard that lie outside their patent's home, the shard with most of its rows (of equal ones the first by name)."""
+    number = _entries(spark, sf_dir).filter("patent_id is not null and shard is not null").groupBy("patent_id", "shard").agg(F.count("*").alias("n"))
+    home = number.groupBy("patent_id").agg(F.min_by("shard", F.struct((-F.col("n")).alias("n"), "shard")).alias("home"))
+    return number.join(home, "patent_id").filter("shard <> home").groupBy("shard").agg(F.sum("n").alias("n_rows"))
 
 
 _MODES = {
@@ -172,7 +191,7 @@ SELECT pool, count(*) AS n, round(avg(f), 6) + 0.0 AS mean_first, round(avg(n),
 QUERIES = {k: _pooled(p) for k, p in _MODES.items()}
 for _name, _query in QUERIES.items():
     _query.__name__, _query.__doc__ = _name, f"Pooled vectors with {json.dumps(_MODES[_name].__dict__)}."
-QUERIES |= {f.__name__: f for f in (truncated_token_mean, masked_token_mean, claim_weights, token_violations, token_shards, pooled_missing, pooled_summary, ablation_pooling_grid, shard_partials, stream_accumulate, event_counts)}
+QUERIES |= {f.__name__: f for f in (truncated_token_mean, masked_token_mean, claim_weights, token_violations, token_shards, pooled_missing, pooled_summary, ablation_pooling_grid, shard_partials, stream_accumulate, event_counts, token_misses, stray_shards)}
 ORACLES = {
     "pooled_all": _pool_sql(12, 0.1),
     "pooled_root_only": _pool_sql(12, 0.1, "depth = 0"),
@@ -195,5 +214,8 @@ count(*) FILTER (WHERE list_bool_or(list_transform(flatten(token_embeddings), la
     "shard_partials": f"""WITH {_PARTS}, u AS (SELECT DISTINCT shard, patent_id, claim_id, v FROM t4), j AS (SELECT shard, patent_id, (CASE WHEN depth = 0 THEN 12::DOUBLE ELSE 1 END) * exp(-0.1::DOUBLE * depth) AS w FROM u JOIN dep USING (patent_id, claim_id))
 SELECT shard, count(DISTINCT patent_id) AS n_patents, count(*) AS n_parts, round(sum(w), 4) + 0.0 AS weight FROM j GROUP BY 1""",
     "stream_accumulate": _pool_sql(12, 0.1),
+    "token_misses": f"WITH {_PARTS} SELECT DISTINCT patent_id, claim_id FROM token_entries WHERE patent_id IS NOT NULL AND claim_id IS NOT NULL AND (patent_id, claim_id) NOT IN (SELECT (patent_id, claim_id) FROM dep)",
+    "stray_shards": """WITH n AS (SELECT patent_id, shard, count(*) AS n FROM token_entries WHERE patent_id IS NOT NULL AND shard IS NOT NULL GROUP BY 1, 2), h AS (SELECT *, row_number() OVER (PARTITION BY patent_id ORDER BY n DESC, shard) AS rn FROM n)
+SELECT shard, sum(n)::BIGINT AS n_rows FROM h WHERE rn > 1 GROUP BY 1""",
     "event_counts": "SELECT epoch(date_trunc('hour', ts))::BIGINT AS window_start, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
 }

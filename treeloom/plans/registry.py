@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treeloom.plans import cluster_queries, hierarchy_queries, pipeline_queries, pooling_queries, record_queries
+from treeloom.plans import cluster_queries, hierarchy_queries, pipeline_queries, pooling_queries, record_queries, source_queries
 
-_MODULES = [record_queries, hierarchy_queries, pooling_queries, cluster_queries, pipeline_queries]
+_MODULES = [record_queries, hierarchy_queries, pooling_queries, cluster_queries, source_queries, pipeline_queries]
 
 
 def queries() -> dict:

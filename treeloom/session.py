@@ -51,10 +51,32 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
+def begin_run(spark: SparkSession, name: str) -> str:
+    """Gather the tables that follow in one folder of the shared one, until the next run begins; returns its path for :func:`clear`."""
+    folder = f"{shared_dir(spark)}/treeloom-{name}-{uuid.uuid4().hex[:12]}"
+    spark._treeloom_run = folder
+    return folder
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder of the current run; a run without a name begins where there is none."""
+    held = getattr(spark, "_treeloom_run", None)
+    return held if held and held.startswith(shared_dir(spark)) else begin_run(spark, "run")
+
+
+def clear(spark: SparkSession, folder: str) -> None:
+    """Delete a run's folder.  Its result is lazy and reads the folder: write the result first."""
+    drop_table(spark, folder)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Cut the lineage: write ``df`` to the shared folder and read it back.  Returns the table and its path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/treeloom-{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
