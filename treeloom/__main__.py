@@ -1,21 +1,29 @@
-"""``python -m treeloom QUERY SF_DIR OUT``: run one query and write its rows as Parquet; without arguments, list the queries."""
+"""Command line: ``python -m treeloom query NAME SF_DIR OUT`` writes a query's rows as Parquet, ``queries`` lists the names; for the other jobs see ``--help``."""
 
 from __future__ import annotations
 
 import sys
 
-from treeloom.plans import registry
-from treeloom.session import build_session, ship
+from treeloom.plans import commands, registry
+from treeloom.session import begin_run, build_session, clear, ship
 
 
 def main(args: list[str]) -> int:
-    queries = registry.queries()
-    if len(args) != 3 or args[0] not in queries:
-        print("usage: python -m treeloom QUERY SF_DIR OUT\n" + "\n".join(sorted(queries)))
+    if args[:1] == ["queries"]:
+        print("\n".join(sorted(registry.queries())))
+        return 0
+    if args[:1] == ["query"] and (len(args) != 4 or args[1] not in registry.queries()):
+        print("usage: python -m treeloom query NAME SF_DIR OUT")
         return 2
+    if not args or "-h" in args or "--help" in args:
+        return commands.main(None, args or ["--help"])
     spark = build_session()
     ship(spark)
-    queries[args[0]](spark, args[1].rstrip("/")).write.mode("errorifexists").parquet(args[2])
+    if args[0] != "query":
+        return commands.main(spark, args)
+    folder = begin_run(spark, args[1])
+    registry.queries()[args[1]](spark, args[2].rstrip("/")).write.mode("errorifexists").parquet(args[3])
+    clear(spark, folder)
     return 0
 
 

@@ -42,6 +42,7 @@ class Reduction:
     def load(cls, path: str, input_dim: int | None = None, output_dim: int | None = None) -> Reduction:
         with open(path, encoding="utf-8") as f:
             x = json.load(f)
+        x = x.get("pca", x)  # alone, or in an envelope with other settings
         model = cls(np.array(x["mean"]), np.array(x["components"]), np.array(x["variances"]), x["total"], x["whiten"])
         if input_dim is not None and model.components.shape[1] != input_dim or output_dim is not None and model.components.shape[0] != output_dim:
             raise ValueError(f"the model maps {model.components.shape[1]} to {model.components.shape[0]} numbers")

@@ -50,6 +50,11 @@ def save_json(x: object, path: str) -> None:
         raise
 
 
+def save_config(settings: dict, path: str, keep_metadata: bool = False) -> None:
+    """Settings as JSON; what a loader noted about their origin under ``_metadata`` is dropped unless it is to be kept."""
+    save_json(settings if keep_metadata else {k: v for k, v in settings.items() if k != "_metadata"}, path)
+
+
 def save_vectors(df: DataFrame, path: str, vector: str, mode: str = "errorifexists", by: tuple[str, ...] = ()) -> None:
     """Parquet, partitioned on request; refuses vectors that hold NaN or infinite numbers."""
     bad = F.exists(F.col(vector).cast("array<double>"), lambda x: F.isnan(x) | (F.abs(x) == F.lit(math.inf)))
