@@ -87,6 +87,18 @@ def test_encoding_equals_the_library(spark, sf):
     assert tokens.encode_corpus(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_long_words_equal_the_library(monkeypatch):
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(VOCABULARY)
+    rng, letters = random.Random(0), "etaoinshrdlu"
+    texts = ["".join(rng.choices(letters, k=300_000)), "a" * 9001 + " b " + "ab" * 3000, "請求項" * 3000, "".join(rng.choices("ab", k=5000)), "", "short words too"]
+    e = tokens.Encoder(tokens.load_vocabulary(VOCABULARY))
+    offsets, ids = e.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(tokens, "LONG_WORD", 3)  # the same words one way and the other
+    again, other = tokens.Encoder(e.v).encode(texts[3:])
+    assert other.tolist() == ids[offsets[3] :].tolist()
+
+
 def test_words_are_forgotten_and_learned_again(monkeypatch):
     monkeypatch.setattr(tokens, "_HELD_WORDS", 3)
     e = tokens.Encoder(tokens.load_vocabulary(VOCABULARY))

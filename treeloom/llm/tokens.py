@@ -9,6 +9,7 @@ pair wherever it occurs in the word.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -59,8 +60,42 @@ def load_vocabulary(path: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> Vocabulary
     return Vocabulary(np.array([ids[c] for c in _byte_chars()], np.int32), width, keys[order], np.arange(len(keys), dtype=np.int32)[order], merged[order])
 
 
+#: Bytes from which a word is merged by itself: a round for each rank over a word of megabytes would take hours.
+LONG_WORD = 4096
+
+
+def merge_long(word: bytes, v: Vocabulary) -> list[int]:
+    """Ids of one long word: the lowest rank first, of equal ones the leftmost, from a heap of pairs."""
+    ranks = dict(zip(v.keys.tolist(), zip(v.ranks.tolist(), v.merged.tolist())))
+    symbol = v.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+    n, width = len(symbol), v.width
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(known[0], i, a, b, known[1]) for i, (a, b) in enumerate(zip(symbol, symbol[1:])) if (known := ranks.get(a * width + b))]
+    heapq.heapify(heap)
+    while heap:
+        _, i, a, b, merged = heapq.heappop(heap)
+        j = after[i]
+        if symbol[i] != a or j >= n or symbol[j] != b:
+            continue  # one of the two has been merged meanwhile
+        symbol[i], symbol[j] = merged, -1
+        k, h = after[j], before[i]
+        after[i] = k
+        if k < n:
+            before[k] = i
+            if known := ranks.get(merged * width + symbol[k]):
+                heapq.heappush(heap, (known[0], i, merged, symbol[k], known[1]))
+        if h >= 0 and (known := ranks.get(symbol[h] * width + merged)):
+            heapq.heappush(heap, (known[0], h, symbol[h], merged, known[1]))
+    return [x for x in symbol if x >= 0]
+
+
 def merge_words(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """CSR (offsets, ids) of the given words, all merged together round by round."""
+    """CSR (offsets, ids) of the given words: all merged together round by round, but for very long ones."""
+    long = {i: np.array(merge_long(w, v), np.int32) for i, w in enumerate(words) if len(w) > LONG_WORD}
+    if long:
+        offsets, ids = merge_words([b"" if i in long else w for i, w in enumerate(words)], v)
+        parts = [long.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist()))]
+        return np.concatenate(([0], np.cumsum([len(x) for x in parts]))), np.concatenate(parts)
     lengths = np.array([len(w) for w in words], np.int64)
     symbols = v.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
     word = np.repeat(np.arange(len(words)), lengths)
