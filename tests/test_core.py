@@ -341,3 +341,11 @@ def test_strict_joins_and_quantiles(spark):
     from treeloom.functions.text import code_levels_of_list
 
     assert spark.createDataFrame([([None, " ", "a61k 9/00", "B01D"],)], "c array<string>").select(code_levels_of_list(F.col("c")).alias("l")).first()["l"]["class"] == "A61"
+
+
+def test_public_names():
+    import treeloom
+
+    assert all(getattr(treeloom, name) is not None for name in treeloom.__all__)
+    with pytest.raises(AttributeError):
+        treeloom.nothing  # noqa: B018
