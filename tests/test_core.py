@@ -2,6 +2,7 @@ import json
 import math
 import os
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from treeloom.functions import shingles, text, vectors
 from treeloom.operators import checks, kmeans, metrics, pooling, records, reduction
 from treeloom.operators.delivery import first_delivery
+from treeloom.session import write_table
 from treeloom.sources import readers, sinks
 
 DEMO = [
@@ -349,3 +351,17 @@ def test_public_names():
     assert all(getattr(treeloom, name) is not None for name in treeloom.__all__)
     with pytest.raises(AttributeError):
         treeloom.nothing  # noqa: B018
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, df = files(), spark.range(5000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert write_table(df, "counts")[0].count() == 7 and df.count() == 7  # the table is whole, and can be computed again
+    df.write.format("noop").mode("overwrite").save()
+    assert files() - before  # files of other queries stay, so that they can be told from those
+    before = files()
+    write_table(df, "counts")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
