@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -181,3 +182,14 @@ def test_sketches(spark):
     merged = S.merge_counts(spark.createDataFrame(list(zip(numbers, map(bytearray, datas))) * 2, "block int, data binary"), 12)
     assert S.count_at(S.count_level(merged, np.arange(10, dtype=np.uint64))) == pytest.approx(2 * np.arange(10), rel=0.05)
     assert S.count_bits(0) == 12 and S.count_bits(10**6) == 18 and S.count_bits(10**12) == S.MOST_COUNT_BITS
+
+
+def test_merging_a_sketch_leaves_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    counter, before = S.Counter(12), files()
+    counter.add(np.arange(100, dtype=np.uint64))
+    S.merge_counts(spark.createDataFrame(list(zip(*(x if i == 0 else map(bytearray, x) for i, x in enumerate(S.blocks_of(counter.cells))))), "block int, data binary"), 12)
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
