@@ -361,7 +361,5 @@ def test_written_tables_leave_no_shuffle_files(spark):
     assert files() - before  # files of other queries stay, so that they can be told from those
     before = files()
     write_table(df, "counts")
-    until = time.time() + 20
-    while files() - before and time.time() < until:
-        time.sleep(0.2)
+    time.sleep(1)  # they are deleted in the background; later, a collection of garbage could have done it
     assert not files() - before
