@@ -193,3 +193,64 @@ def test_merging_a_sketch_leaves_no_shuffle_files(spark):
     while files() - before and time.time() < until:
         time.sleep(0.2)
     assert not files() - before
+
+
+def shuffled_rows(spark, run):
+    """Rows that the stages of ``run()`` wrote to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        return {s.stageId(): s.shuffleWriteRecords() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc.statusStore().stageList(None, False, False, none, spark._jvm.java.util.ArrayList()))}
+
+    before = max(stages(), default=-1)
+    run()
+    return sum(n for k, n in stages().items() if k > before)
+
+
+def test_pairs_that_meet_are_not_shuffled(spark):
+    """Templated texts: pairs that meet grow with the square of the table, but only those with enough in common leave a task."""
+
+    def classes(n):
+        rng = random.Random(n)
+        phrases = [" ".join(f"p{k}x{i}" for i in range(6)) for k in range(60)]
+        rows = [(k, rng.sample(phrases, 10), "train" if k % 2 else "dev", None, "", "") for k in range(n)]
+        df = frame(spark, rows).select(F.col("record_id").alias("id"), "texts", "split")
+        texts, o = df.select("id", "texts"), O.Overlap()
+        sets = {r[0]: triples(r[1]) for r in rows}
+        near = sum(3 <= len(sets[e] & sets[t]) for e in sets for t in sets if not e % 2 and t % 2)
+        return near, shuffled_rows(spark, lambda: O.contained_classes(df.filter("split = 'dev'").select("id", "texts"), df.filter("split = 'train'").select("id", "texts"), texts, O.Profile(texts, o), o).count())
+
+    (met, few), (met_more, more) = classes(200), classes(800)
+    assert met_more > 12 * met and more < 6 * few and more < met_more / 4, (met, few, met_more, more)
+
+
+@pytest.mark.parametrize("o", [O.Overlap(groups_at_once=40), O.Overlap(groups_at_once=300, agree=1), O.Overlap(agree=40)])
+def test_shares_of_the_index(spark, o):
+    """Several shares, training sets then being read from a table of hashes, groups of one member and of many: nothing is lost."""
+    rows = corpus(12)
+    sets = {r[0]: (triples(r[1]), (r[2] or "").strip().lower()) for r in rows}
+    want = {(min(e, t), max(e, t)) for e, (x, s) in sets.items() for t, (y, u) in sets.items() if s in ("dev", "test") and u == "train" and x and 5 * len(x & y) >= 4 * len(x)}
+    got = {tuple(r) for r in O.cross_split(frame(spark, rows).repartition(3), "record_id", "texts", split_name("split"), o=o).collect()}
+    assert got == want and len(got) > 100
+
+
+def test_groups_of_a_set():
+    """Every set's groups are disjoint, led by its rarest shingles; a set that holds all but n - need shingles always comes out, one without a whole group never."""
+    o, rng = O.Overlap(), np.random.default_rng(3)
+    texts = [[" ".join(f"g{k}x{i}" for i in range(n + 2))] for k, n in enumerate((1, 2, 4, 5, 9, 23, 200))]
+    s = O.Sets(pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "texts"]), 3)
+    level = (s.values % np.uint64(7)).astype(np.uint8)
+    leads, members, owner = O._groups(s, level, o)
+    block = pa.table({"share": pa.array([0, 0], pa.int32()), **{c: [x.tobytes()] * 2 for c, x in (("names", s.classes), ("sizes", s.sizes.astype(np.int64)), ("leads", leads), ("members", members))}})
+    index = {p: np.frombuffer(d, O._INDEX_TYPES[p]) for p, d in zip(*(O._index(block, o)[c].to_pylist() for c in ("part", "data")))}
+    assert len(index["names"]) == len(texts) and len(index["entries"]) == len(leads)
+    need = O._group_numbers(s.sizes, o)[0]
+    for _ in range(50):
+        held = [rng.choice(v, n, replace=False) for v, n in zip(np.split(s.values, s.offsets[1:-1]), need)]
+        low = np.concatenate(held).astype(np.uint64) & np.uint64(0xFFFFFFFF)
+        a, b = O._holding(index, low.astype(np.uint32), np.concatenate(([0], np.cumsum(need))))
+        assert sorted(zip(a.tolist(), b.tolist())) == [(k, k) for k in range(len(texts))]
+    none = np.concatenate([v[: n - 1] for v, n in zip(np.split(s.values, s.offsets[1:-1]), need)]) & np.uint64(0xFFFFFFFF)
+    assert not len(O._holding(index, none.astype(np.uint32), np.concatenate(([0], np.cumsum(need - 1))))[0])
